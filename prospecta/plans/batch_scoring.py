@@ -77,8 +77,15 @@ def score_uploads(
     ``quarantine`` and the rest is scored. Files whose hash is known are left out.
     """
     check_upload_header(uploads)
-    known = tables.batches.select("file_hash")
-    records = V.typed_upload(uploads.join(known, "file_hash", "left_anti"))
+    headers = uploads.groupBy("file_hash").agg(
+        F.min("position").alias("position"),
+        F.min("file_name").alias("file_name"),
+        F.count("*").cast("int").alias("total_records"),
+    )
+    batches = maintain.register_batches(tables.batches, headers, now)
+    # One row per new file; the join drops the rows of known files and brings the batch id.
+    new_files = batches.join(tables.batches.select("file_hash"), "file_hash", "left_anti").select("file_hash", "batch_id")
+    records = V.typed_upload(uploads).join(new_files, "file_hash")
     valid, quarantine = V.split_valid(records, V.customer_rules())
     if strict:
         checks = V.upload_checks(records).first()
@@ -88,15 +95,7 @@ def score_uploads(
         if broken:
             raise ValueError(f"upload rejected: {broken} invalid rows")
 
-    headers = records.groupBy("file_hash").agg(
-        F.min("position").alias("position"),
-        F.min("file_name").alias("file_name"),
-        F.count("*").cast("int").alias("total_records"),
-    )
-    batches = maintain.register_batches(tables.batches, headers, now)
-    batch_ids = batches.select("file_hash", "batch_id")
-
-    scored = with_decision(scorer(valid), threshold, model_version).join(batch_ids, "file_hash")
+    scored = with_decision(scorer(valid), threshold, model_version)
     # Checkpointed inside: rows are scored once, and every table below sees the same numbers.
     numbered = with_positions(scored, [F.col("position")], "place")
     require_scored(numbered)
