@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prospecta import schemas as S
 from prospecta.operators.ranking import running_totals
@@ -108,8 +109,9 @@ def curve_points(df: DataFrame, score: str = "probability", label: str = "target
     counts = score_counts(df, score, label)
     totals = running_totals(
         counts, [F.col(score).desc()], {"tp": "positives", "fp": "negatives"}, bounded=bounded)
-    sums = counts.agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
-    return totals.join(F.broadcast(sums)).select(  # one row of totals
+    sized = totals.withColumns({
+        "p": counts.agg(F.sum("positives")).scalar(), "n": counts.agg(F.sum("negatives")).scalar()})
+    return sized.select(
         F.col(score).alias("threshold"), "tp", "fp",
         _zero_if_undefined(F.col("fp"), F.col("n")).alias("fpr"),
         _zero_if_undefined(F.col("tp"), F.col("p")).alias("tpr"),
@@ -136,10 +138,14 @@ def threshold_table(df: DataFrame, score: str = "probability", label: str = "tar
     """
     reached = df.groupBy(_thresholds_passed(F.col(score)).alias("reached")).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives"))
-    grid = df.sparkSession.range(LOWEST, HIGHEST + 1).select(F.col("id").cast("int").alias("hundredths"))
-    # 51 thresholds by at most 52 groups.
-    sums = F.broadcast(grid).join(reached, F.col("reached") > F.col("hundredths") - LOWEST, "left").groupBy("hundredths").agg(
-        F.coalesce(F.sum("positives"), F.lit(0)).alias("tp"), F.coalesce(F.sum("negatives"), F.lit(0)).alias("fp"))
+    grid = df.sparkSession.range(1, HIGHEST - LOWEST + 2).select(F.col("id").cast("int").alias("reached"))
+    # Rows that reach more thresholds reach this one too; the window runs over 51 rows.
+    from_top = Window.orderBy(F.col("reached").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = grid.join(reached, "reached", "left").select(
+        (F.col("reached") + (LOWEST - 1)).alias("hundredths"),
+        F.coalesce(F.sum("positives").over(from_top), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum("negatives").over(from_top), F.lit(0)).alias("fp"),
+    )
     total = reached.agg(F.coalesce(F.sum("positives"), F.lit(0)))
     fn = F.col("all_positives") - F.col("tp")
     return sums.withColumn("all_positives", total.scalar()).select(
@@ -158,6 +164,6 @@ def best_threshold(
         precise.desc(), F.col("f1").desc(), F.col("threshold")).limit(1)
 
 
-def model_ranking(results: DataFrame) -> DataFrame:
-    """Models by ROC AUC; the earlier ``place`` wins ties and an AUC of 0 is never chosen."""
-    return results.filter(F.col("roc_auc") > 0).orderBy(F.col("roc_auc").desc(), F.col("place"))
+def model_ranking(results: DataFrame, by: str = "roc_auc") -> DataFrame:
+    """Models by an AUC column; the earlier ``place`` wins ties and an AUC of 0 is never chosen."""
+    return results.filter(F.col(by) > 0).orderBy(F.col(by).desc(), F.col("place"))
