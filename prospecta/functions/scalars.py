@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prospecta import schemas as S
 
 BLANKS = " \t\n\r\x0b\x0c"
-NUMBER = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+NUMBER = r"^\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
 def strip(text: Column) -> Column:
@@ -19,11 +19,11 @@ def strip(text: Column) -> Column:
 def to_number(value: Column) -> Column:
     """Double, or NULL for text that is no decimal number and for NaN.
 
-    The pattern keeps out spellings that Java reads and users do not mean, such as ``1d``.
+    The pattern keeps out spellings that Java reads and users do not mean, such as ``1d``. The input is
+    named only twice: Spark repeats the whole expression for every mention.
     """
-    text = strip(value.cast("string"))
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    text = value.cast("string")
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def to_int(value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A window without ``PARTITION BY`` moves every row to a single task. Here the rows are range
 partitioned, each partition is numbered on its own, and the partition offsets (one row per
-partition) are added. The range-partitioned rows are checkpointed first: the offsets and the rows
+partition) are added. The range-partitioned rows are written out first: the offsets and the rows
 must come from the same partitioning, also when an executor is lost in between.
 """
 

@@ -18,7 +18,7 @@ from prospecta import schemas as S
 from prospecta.functions import scalars as X
 from prospecta.functions import validation as V
 from prospecta.operators import campaign, maintain
-from prospecta.operators.ranking import with_positions
+from prospecta.session import materialise
 from prospecta.sources.files import check_upload_header
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -37,6 +37,15 @@ class BatchOutcome:
     tables: CampaignTables
     results: DataFrame
     quarantine: DataFrame
+    new_campaigns: DataFrame
+    new_predictions: DataFrame
+
+    def changes(self) -> dict[str, dict[str, DataFrame]]:
+        """Arguments of ``TableStore.commit``: history only grows, so only its new rows are written."""
+        return {
+            "replace": {"batch_uploads": self.tables.batches, "customers": self.tables.customers},
+            "append": {"campaign_history": self.new_campaigns, "predictions": self.new_predictions},
+        }
 
 
 def with_decision(scored: DataFrame, threshold: float, model_version: str | None) -> DataFrame:
@@ -71,7 +80,8 @@ def score_uploads(
     model_version: str | None = S.MODEL_VERSION,
     strict: bool = True,
 ) -> BatchOutcome:
-    """``uploads``: text columns, ``position`` (unique input order), ``file_hash`` and ``file_name``.
+    """``uploads``: text columns, ``position`` (unique input order from 1), ``file_hash`` and ``file_name``.
+    New campaign and prediction ids are the largest old id plus the position.
 
     ``strict`` abandons the job on the first kind of invalid row; otherwise those rows are returned in
     ``quarantine`` and the rest is scored. Files whose hash is known are left out.
@@ -85,7 +95,8 @@ def score_uploads(
     batches = maintain.register_batches(tables.batches, headers, now)
     # One row per new file; the join drops the rows of known files and brings the batch id.
     new_files = batches.join(tables.batches.select("file_hash"), "file_hash", "left_anti").select("file_hash", "batch_id")
-    records = V.typed_upload(uploads).join(new_files, "file_hash")
+    # Parsed and typed once; the checks, the upsert and the scoring read this table.
+    records = materialise(V.typed_upload(uploads).join(new_files, "file_hash"))
     valid, quarantine = V.split_valid(records, V.customer_rules())
     if strict:
         checks = V.upload_checks(records).first()
@@ -95,19 +106,18 @@ def score_uploads(
         if broken:
             raise ValueError(f"upload rejected: {broken} invalid rows")
 
+    # Written once: every table below sees the same customer numbers and the same scores.
+    upserted = materialise(maintain.upsert_customers(tables.customers, valid, now))
     scored = with_decision(scorer(valid), threshold, model_version)
-    # Checkpointed inside: rows are scored once, and every table below sees the same numbers.
-    numbered = with_positions(scored, [F.col("position")], "place")
-    require_scored(numbered)
+    results = materialise(scored.join(upserted.select("customer_id", "phone_number"), "phone_number"))
+    require_scored(results)
 
-    upserted = maintain.upsert_customers(tables.customers, numbered, now)
-    results = numbered.join(upserted.select("customer_id", "phone_number"), "phone_number")
     new_campaigns = results.select(
-        (F.col("place") + maintain.next_id(tables.campaigns, "campaign_id")).alias("campaign_id"), "customer_id",
+        (F.col("position") + maintain.next_id(tables.campaigns, "campaign_id")).alias("campaign_id"), "customer_id",
         *S.CAMPAIGN_FIELDS, F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )
     new_predictions = results.select(
-        (F.col("place") + maintain.next_id(tables.predictions, "prediction_id")).alias("prediction_id"), "customer_id",
+        (F.col("position") + maintain.next_id(tables.predictions, "prediction_id")).alias("prediction_id"), "customer_id",
         "prediction", "probability", "model_version", F.lit(now).alias("predicted_at"),
     )
     campaigns = tables.campaigns.unionByName(new_campaigns, allowMissingColumns=True)
@@ -115,4 +125,5 @@ def score_uploads(
     # Earlier rows already carry their status, so only the new predictions can change it.
     customers = maintain.completed_status(upserted, new_predictions)
     batches = campaign.batch_status(batches, customers, predictions)
-    return BatchOutcome(CampaignTables(batches, customers, campaigns, predictions), results, quarantine)
+    states = CampaignTables(batches, customers, campaigns, predictions)
+    return BatchOutcome(states, results, quarantine, new_campaigns, new_predictions)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from prospecta import schemas as S
 
+# Spark's writer strips white space from values unless told not to.
+_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.RAW_TRAINING).option("header", True).csv(path)
@@ -22,6 +25,12 @@ def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
+def read_upload_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One customer file with what orders its lines: the block and the running number in it."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).select(
+        "*", F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line_id"))
+
+
 def check_upload_header(df: DataFrame) -> None:
     missing = [name for name in S.UPLOAD_FIELDS if name not in df.columns]
     if missing:
@@ -35,12 +44,12 @@ def read_log_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Results as CSV with header, one file per partition."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    df.write.mode("errorifexists").options(**_KEEP_BLANKS).option("header", True).csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """A small report (metrics, importances) as a single CSV file. For bounded results only."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").options(**_KEEP_BLANKS).option("header", True).csv(path)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

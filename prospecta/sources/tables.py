@@ -1,8 +1,9 @@
-"""The campaign tables as versioned Parquet folders.
+"""The campaign tables as Parquet folders with a ledger of commits.
 
-A new table state is written to a fresh folder and then entered in the ledger, itself a Parquet
-folder that only grows. Readers take the newest entry, so a path that is being read is never
-overwritten and a failed write leaves no trace. One writer at a time is assumed.
+A commit writes new table states and added rows to fresh folders and then enters them in the ledger,
+itself a Parquet folder that only grows. Readers take the newest full state of a table and the rows
+added since. A path that is being read is never overwritten, a failed write leaves no trace, and the
+changes of one commit become visible together. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import types as T
 from prospecta import schemas as S
 
 _LEDGER = T.StructType([
+    T.StructField("commit", T.LongType()),
     T.StructField("table", T.StringType()),
-    T.StructField("version", T.LongType()),
     T.StructField("path", T.StringType()),
+    T.StructField("full", T.BooleanType()),
 ])
 
 
@@ -36,39 +38,30 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _entries(self) -> DataFrame:
+    def _ledger(self) -> DataFrame:
         try:
             return self.spark.read.schema(_LEDGER).parquet(f"{self.root}/_ledger")
         except AnalysisException:
             return self.spark.createDataFrame([], _LEDGER)
 
-    def _current(self, table: str) -> tuple[int, str | None]:
-        newest = self._entries().filter(F.col("table") == table).agg(
-            F.coalesce(F.max("version"), F.lit(0)), F.max_by("path", "version")
-        ).first()
-        return newest[0], newest[1]
+    def _paths(self, table: str) -> list[str]:
+        """Folders of the current state: one per commit since the last full state."""
+        rows = self._ledger().filter(F.col("table") == table).orderBy("commit").collect()
+        newest = max((row["commit"] for row in rows if row["full"]), default=0)
+        return [row["path"] for row in rows if row["commit"] > newest or (row["commit"] == newest and row["full"])]
 
     def read(self, table: str) -> DataFrame:
-        _, path = self._current(table)
-        if path is None:
+        paths = self._paths(table)
+        if not paths:
             return self.spark.createDataFrame([], S.TABLES[table])
-        return self.spark.read.schema(S.TABLES[table]).parquet(path)
+        return self.spark.read.schema(S.TABLES[table]).parquet(*paths)
 
-    def replace(self, states: dict[str, DataFrame]) -> None:
-        """Write new states of several tables; they become visible together."""
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> None:
+        number = self._ledger().agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0] + 1
         entries = []
-        for table, df in states.items():
-            version, _ = self._current(table)
-            path = f"{self.root}/{table}/v{version + 1:08d}-{uuid.uuid4().hex[:8]}"
-            conform(df, table).write.mode("errorifexists").parquet(path)
-            entries.append((table, version + 1, path))
-        ledger = self.spark.createDataFrame(entries, _LEDGER)
-        ledger.coalesce(1).write.mode("append").parquet(f"{self.root}/_ledger")
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows to the current version; the checks of the caller come first."""
-        _, path = self._current(table)
-        if path is None:
-            self.replace({table: rows})
-        else:
-            conform(rows, table).write.mode("append").parquet(path)
+        for full, states in ((True, replace or {}), (False, append or {})):
+            for table, df in states.items():
+                path = f"{self.root}/{table}/c{number:08d}-{uuid.uuid4().hex[:8]}"
+                conform(df, table).write.mode("errorifexists").parquet(path)
+                entries.append((number, table, path, full))
+        self.spark.createDataFrame(entries, _LEDGER).coalesce(1).write.mode("append").parquet(f"{self.root}/_ledger")
