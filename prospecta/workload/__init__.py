@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["relational", "operations", "learning", "files_and_streams"]
+_MODULES = ["relational", "operations", "learning", "models", "files_and_streams"]
 
 
 def _registries():
