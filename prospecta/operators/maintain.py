@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prospecta import schemas as S
 from prospecta.operators.ranking import with_positions
+from prospecta.session import materialise
 
 
 def _last_set(name: str) -> Column:
@@ -36,19 +37,23 @@ def upsert_customers(customers: DataFrame, incoming: DataFrame, now: datetime) -
         *[_last_set(name) for name in S.CUSTOMER_FIELDS],
     )
     new_values = folded.select(
-        "phone_number", F.lit(True).alias("_hit"),
+        "phone_number", "_first", F.col("batch_id").alias("_new_batch_id"),
         *[F.col(f"`{name}`").alias(f"_new_{name}") for name in S.CUSTOMER_FIELDS],
     )
-    updated = customers.join(new_values, "phone_number", "left").select(
-        "customer_id", "phone_number", "batch_id",
+    # Phone numbers are unique on both sides. Written once: the known rows are final, the new ones
+    # are read again to be numbered.
+    merged = materialise(customers.join(new_values, "phone_number", "full_outer").select(
+        "customer_id", "phone_number", "batch_id", "_new_batch_id", "_first",
         *[F.coalesce(f"_new_{name}", f"`{name}`").alias(name) for name in S.CUSTOMER_FIELDS],
-        "prediction_status", "created_at",
-        F.when(F.col("_hit"), clock).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
-    fresh = folded.join(customers.select("phone_number"), "phone_number", "left_anti")
+        "prediction_status", "created_at", "updated_at",
+    ))
+    updated = merged.filter(F.col("customer_id").isNotNull()).withColumn(
+        "updated_at", F.when(F.col("_first").isNotNull(), clock).otherwise(F.col("updated_at"))
+    ).drop("_new_batch_id", "_first")
+    fresh = merged.filter(F.col("customer_id").isNull())
     inserted = with_positions(fresh, [F.col("_first"), F.col("phone_number")], "_place").select(
-        (F.col("_place") + next_id(customers, "customer_id")).alias("customer_id"),
-        "phone_number", "batch_id", *[f"`{name}`" for name in S.CUSTOMER_FIELDS],
+        (F.col("_place") + next_id(updated, "customer_id")).alias("customer_id"),
+        "phone_number", F.col("_new_batch_id").alias("batch_id"), *[f"`{name}`" for name in S.CUSTOMER_FIELDS],
         F.lit("PENDING").alias("prediction_status"), clock.alias("created_at"), clock.alias("updated_at"),
     )
     return updated.unionByName(inserted)
