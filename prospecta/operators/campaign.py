@@ -30,8 +30,10 @@ def batch_results(
     if batch_id is not None:
         members = members.filter(F.col("batch_id") == batch_id)
         headers = headers.filter(F.col("batch_id") == batch_id)
-    rows = predictions.select("customer_id", "prediction", "probability", "predicted_at")
-    return rows.join(members, "customer_id").join(headers, "batch_id")
+    # Customers get their header first, so the predictions are shuffled once, by customer. Shuffled by
+    # batch, a large batch would be one task.
+    members = members.join(headers, "batch_id")
+    return predictions.select("customer_id", "prediction", "probability", "predicted_at").join(members, "customer_id")
 
 
 def predictions_per_batch(customers: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -77,10 +79,13 @@ def accept_predictions(
     predictions: DataFrame, customers: DataFrame, campaigns: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """A prediction needs an existing customer that has campaign data."""
-    found, unknown = known_customers(predictions, customers)
+    keys = customers.select("customer_id")
     contacted = campaigns.select("customer_id").distinct()
-    without = found.join(contacted, "customer_id", "left_anti").withColumn("reason", F.lit("no_campaign_data"))
-    return found.join(contacted, "customer_id", "left_semi"), unknown.unionByName(without)
+    # The tests are made on the unique customers; each output then joins the predictions once.
+    good = predictions.join(keys.join(contacted, "customer_id", "left_semi"), "customer_id", "left_semi")
+    silent = predictions.join(keys.join(contacted, "customer_id", "left_anti"), "customer_id", "left_semi")
+    _, unknown = known_customers(predictions, customers)
+    return good, unknown.unionByName(silent.withColumn("reason", F.lit("no_campaign_data")))
 
 
 def accept_customers(customers: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -45,10 +45,11 @@ class TableStore:
             return self.spark.createDataFrame([], _LEDGER)
 
     def _paths(self, table: str) -> list[str]:
-        """Folders of the current state: one per commit since the last full state."""
-        rows = self._ledger().filter(F.col("table") == table).orderBy("commit").collect()
-        newest = max((row["commit"] for row in rows if row["full"]), default=0)
-        return [row["path"] for row in rows if row["commit"] > newest or (row["commit"] == newest and row["full"])]
+        """Folders of the current state: the newest full one and those added since."""
+        entries = self._ledger().filter(F.col("table") == table)
+        newest = entries.filter("full").agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0]
+        rows = entries.filter((F.col("commit") > newest) | ((F.col("commit") == newest) & F.col("full"))).collect()
+        return [row["path"] for row in rows]
 
     def read(self, table: str) -> DataFrame:
         paths = self._paths(table)
@@ -65,3 +66,7 @@ class TableStore:
                 conform(df, table).write.mode("errorifexists").parquet(path)
                 entries.append((number, table, path, full))
         self.spark.createDataFrame(entries, _LEDGER).coalesce(1).write.mode("append").parquet(f"{self.root}/_ledger")
+
+    def compact(self, table: str) -> None:
+        """Rewrite a table as one folder, after many small additions."""
+        self.commit(replace={table: self.read(table)})

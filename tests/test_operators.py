@@ -66,6 +66,23 @@ def test_kpis_of_an_empty_batch(spark):
     assert [r["customers"] for r in campaign.priority_distribution(flagged.limit(0)).collect()] == [0, 0, 0, 0]
 
 
+def test_hot_customer(spark):
+    """A third of the predictions belong to one customer; adaptive joins must not lose or repeat rows."""
+    people = spark.range(1, 201).select(F.col("id").alias("customer_id"), F.format_string("9%07d", "id").alias("phone_number"),
+                                        (F.col("id") % 5 + 1).alias("batch_id"), F.lit(30).alias("age"), F.lit("admin.").alias("job"))
+    rows = spark.range(9000).select(
+        F.col("id").alias("prediction_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 200 + 1).alias("customer_id"),
+        F.when(F.col("id") % 2 == 0, "Yes").otherwise("No").alias("prediction"), ((F.col("id") % 100) / 100).alias("probability"),
+        F.lit(NOW).alias("predicted_at"))
+    batches = batch_rows(spark, *[(i, 10) for i in range(1, 6)])
+    found = campaign.batch_results(people, rows, batches)
+    assert found.count() == 9000 and found.filter("customer_id = 7").count() == rows.filter("customer_id = 7").count()
+    kpis = {r["batch_id"]: r for r in campaign.batch_kpis(batches, people, quality.with_subscription_flags(rows)).collect()}
+    assert sum(r["customers_scored"] for r in kpis.values()) == 9000
+    assert sum(r["predicted_subscribers"] for r in kpis.values()) == 4500
+    assert kpis[3]["customers_scored"] == found.filter("batch_id = 3").count() > 3000
+
+
 def test_referential_checks(spark):
     customers = customer_rows(spark, (1, "90000001", 1), (2, "90000002", 7), (3, "90000003", None))
     contacts = spark.createDataFrame([(1, 1)], "campaign_id long, customer_id long")

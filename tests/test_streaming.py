@@ -98,4 +98,6 @@ def test_commits_show_together(spark, tmp_path):
     assert store.read("predictions").count() == 6
     store.commit(replace={"predictions": rows.limit(1)}, append={"campaign_history": rows.select(F.col("prediction_id").alias("campaign_id"))})
     store.commit(append={"predictions": rows})
+    store.compact("predictions")
+    assert len(store._paths("predictions")) == 1
     assert store.read("predictions").count() == 4 and store.read("campaign_history").count() == 3
