@@ -17,6 +17,8 @@ from prospecta.functions.hashing import row_key
 from prospecta.operators import logs
 from prospecta.operators.ranking import with_positions
 
+IDS_PER_BATCH = 1 << 40
+
 
 def json_log_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
     return spark.readStream.schema(S.RAW_LOGS).option("maxFilesPerTrigger", files_per_batch).json(folder)
@@ -54,17 +56,17 @@ def start_ingest(
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         generation = generation_of(epoch)
-        before = _earlier(spark, path, generation_of(epoch - 1) if epoch else 0, epoch)
         if "timestamp" not in batch.columns:
             batch = batch.withColumn("timestamp", F.current_timestamp())
         good, bad = V.split_valid(batch, rules)
         if "log_id" not in batch.columns:
-            # Same rows, same order: a replay numbers them alike.
+            # Ascending without a look at the table, and a replay numbers the same rows alike.
             keyed = good.withColumn("key", row_key(good, [c for c in good.columns if c != "timestamp"], epoch))
-            last = 0 if before is None else before.agg(F.coalesce(F.max("log_id"), F.lit(0))).first()[0]
-            good = with_positions(keyed, [F.col("key")], "place").withColumn("log_id", F.col("place") + last)
+            good = with_positions(keyed, [F.col("key")], "place").withColumn(
+                "log_id", F.col("place") + F.lit(epoch * IDS_PER_BATCH))
         rows = logs.stored_logs(good)
-        if before is not None and generation == epoch:
+        before = _earlier(spark, path, generation_of(epoch - 1), epoch) if epoch and generation == epoch else None
+        if before is not None:
             rows = logs.retain(before.select(*rows.columns).unionByName(rows), keep)
         rows.write.mode("overwrite").parquet(f"{path}/logs/generation={generation}/epoch={epoch}")
         bad.write.mode("overwrite").parquet(f"{path}/quarantine/epoch={epoch}")
