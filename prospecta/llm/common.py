@@ -20,6 +20,7 @@ def in_buckets(rows: DataFrame, key: str, of: DataFrame, of_key: str | None = No
     """
     buckets = of.select(F.pmod(F.xxhash64(of_key or key), F.lit(BUCKETS)).alias("_bucket")).distinct()
     sieved = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    # The bound is on this side, so the table is never larger, whatever the number of keys.
     return sieved.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
 
 

@@ -62,6 +62,7 @@ def _without_block(lines: DataFrame) -> DataFrame:
         .withColumn("_rest", F.xxhash64("_base", "_block", *rest))
         .withColumn("_rest2", F.xxhash64(F.lit(2), F.col("_base"), *rest))
         .withColumn("_text", F.col("_line").substr(begin + 1, end - begin))
+        .drop("_line", "_step", "_end", "_base", "_block")
     )
 
 
@@ -92,7 +93,10 @@ def line_decisions(documents: DataFrame) -> DataFrame:
     lines = _lines(documents)
     distinct = materialise(
         lines.groupBy("_h1", "_h2").agg(F.min(_place()).alias("_first"), F.max(_place()).alias("_last")))
-    blocks = shared_keys(_without_block(lines), "_rest", "_h1").select(
+    # Keys are hashed from all lines once; only the lines that have a shared one are cut into blocks again.
+    keys = materialise(_without_block(lines).select("_rest", "_h1"))
+    doubtful = materialise(shared_keys(keys, "_rest", "_h1").distinct())
+    blocks = _without_block(in_buckets(lines, "_h1", doubtful)).join(doubtful, ["_rest", "_h1"], "left_semi").select(
         "_h1", "_h2", "_rest", "_rest2", "_longer", "_text").distinct()
     variants = shared_keys(_deletions(materialise(blocks)), "_variant", "_h1").select(
         "_h1", "_h2", "_variant", "_role", "_text").distinct()
