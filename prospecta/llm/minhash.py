@@ -4,7 +4,7 @@ A signature has ``CHUNKS`` chunks of ``PER_CHUNK`` MinHash values of ``BITS`` bi
 number of values that differ. By the pigeonhole principle, two signatures at most ``RADIUS`` apart have a chunk
 in which at most ``ERRORS`` values differ; so every way of leaving ``ERRORS`` values of a chunk out gives a key, and such
 signatures share a key for certain. At a similarity of 0.85, a value differs with probability 0.15, and more than
-``RADIUS`` of 20 do with probability 5e-6.
+``RADIUS`` of 24 do with probability 2e-5.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from prospecta.llm.common import connected_components, in_buckets, mixed, shared
 from prospecta.session import materialise
 
 WORDS = 5
-CHUNKS, PER_CHUNK, ERRORS, BITS = 4, 5, 2, 12
+CHUNKS, PER_CHUNK, ERRORS, BITS = 6, 4, 1, 15
 RADIUS = CHUNKS * (ERRORS + 1) - 1
+#: Bits of the map of a set by which pairs are sifted before their full sets are compared.
+MAP_BITS = 1024
 #: Texts are hashed in pieces of about so many bytes (a longer text is one piece), which bounds a task's memory.
 PIECE = 1 << 21
 
@@ -113,8 +115,15 @@ def signatures(value: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nd
     return sums[0], sums[1], out
 
 
+def _bitmaps(value: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each set, the bits that its shingles hash to, as a row of longs."""
+    flags = np.zeros((len(places) - 1, MAP_BITS), bool)
+    flags[np.repeat(np.arange(len(places) - 1), np.diff(places)), value % np.uint64(MAP_BITS)] = True
+    return np.packbits(flags, axis=1).view(np.int64)
+
+
 def _hashed(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, _s1, _s2 (hashes of the set), _sig (four longs of five values)."""
+    """doc_id, n_shingles, _s1, _s2 (hashes of the set), the signature (a long of values for each chunk)."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -138,7 +147,7 @@ def _hashed(documents: DataFrame) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_rep, _set) of the documents that stand for the wanted classes (_rep, _s1, _s2)."""
+    """(_rep, _set, _bits) of the documents that stand for the wanted classes (_rep, _s1, _s2)."""
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, places in _pieces(batch.column(1)):
@@ -146,14 +155,15 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 s1, s2, _ = signatures(value, at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))],
-                    names=["_rep", "_s1", "_s2", "_set"])
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64))),
+                     pa.array(list(_bitmaps(value, at)), pa.list_(pa.int64()))],
+                    names=["_rep", "_s1", "_s2", "_set", "_bits"])
 
     texts = in_buckets(documents.select(F.col("doc_id").alias("_rep"), "text"), "_rep", wanted)
     texts = texts.join(wanted.select("_rep").distinct(), "_rep", "left_semi")
     sets = texts.mapInArrow(built, texts.select("_rep").schema.add("_s1", LongType()).add("_s2", LongType())
-                            .add("_set", ArrayType(LongType())))
-    return sets.join(wanted, ["_rep", "_s1", "_s2"], "left_semi").dropDuplicates(["_rep", "_s1", "_s2"]).select("_rep", "_set")
+                            .add("_set", ArrayType(LongType())).add("_bits", ArrayType(LongType())))
+    return sets.join(wanted, ["_rep", "_s1", "_s2"], "left_semi").dropDuplicates(["_rep", "_s1", "_s2"]).select("_rep", "_set", "_bits")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -166,6 +176,23 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.filter("n_shingles > 0").withColumn("_key", F.explode(F.array(*keys)))
 
 
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(_rep, _shingle): of each set, the rarest shingles that a linked one must share one of, if another has them.
+
+    A link takes percent of the union, so of either set itself, to be in both. So of the (100 - percent) percent
+    rarest shingles of a set and one more, in an order that is the same for all sets, two linked sets share one.
+    Shingles that no other of ``sets`` has count among the rarest, but meet nothing.
+    """
+    members = sets.select("_rep", F.explode("_set").alias("_shingle"))
+    counts = members.groupBy("_shingle").agg(F.count("*").alias("_sets")).filter("_sets > 1")
+    shared = members.join(counts, "_shingle").groupBy("_rep").agg(
+        F.sort_array(F.collect_list(F.struct("_sets", "_shingle"))).alias("_shared"))
+    size = F.size("_set")
+    prefix = size - F.ceil(F.lit(percent) * size / 100) + 1 - (size - F.size("_shared"))
+    return sets.join(shared, "_rep").select("_rep", "_shared", prefix.cast("int").alias("_prefix")).filter("_prefix > 0").select(
+        "_rep", F.explode(F.slice("_shared", F.lit(1), F.col("_prefix"))).alias("_s")).select("_rep", "_s._shingle")
+
+
 def _distance(a: str, b: str) -> Column:
     """How many values of two signatures differ."""
     out = F.lit(0)
@@ -182,6 +209,15 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_distance(a, b) <= RADIUS)
 
 
+def _near_maps(a: str, b: str, percent: int) -> Column:
+    """What bitmaps allow: every bit that one set has and the other has not takes a shingle of its own in one of them, and
+    of linked sets, (100 - percent) of (100 + percent) shingles in both are not shared at most."""
+    apart = F.lit(0)
+    for i in range(MAP_BITS // 64):
+        apart = apart + F.bit_count(F.col(f"{a}._bits")[i].bitwiseXOR(F.col(f"{b}._bits")[i]))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles (long), component_id (long), kept (boolean).
 
@@ -193,8 +229,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
 
     Documents of equal sets are one class from the start, so a large group of copies is one row. Classes that share a
     key are compared; those of one bucket are first compared with its smallest member only, and what that connects is not
-    compared again: a large group of near copies costs its size, not its square. The classes of a bucket that are
-    still apart are then compared with each other, if their signatures are within the radius; so no link is lost.
+    compared again: a large group of near copies costs its size, not its square. The classes that are still apart from
+    others of a bucket are then compared with those that share one of their rarest shingles, as every link does, if the
+    signatures are within the radius and a bitmap of their sets, which never rules out a link, allows one. So no
+    link is lost, and neither variants too far apart nor documents that share a passage make pairs.
     Links are confirmed on the full sets, and neither links nor components pass through the driver.
     """
     hashed = materialise(_hashed(documents))
@@ -202,17 +240,15 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         hashed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "_s1", "_s2").agg(
             F.min("doc_id").alias("_rep"), *[F.first(f"_c{i}").alias(f"_c{i}") for i in range(CHUNKS)]))
     columns = ["_rep", "_s1", "_s2", "n_shingles", *[f"_c{i}" for i in range(CHUNKS)]]
-    bucketed = materialise(shared_keys(
-        _keys(classes).select("_key", *columns), "_key", "_rep"))
+    bucketed = materialise(shared_keys(_keys(classes).select("_key", *columns), "_key", "_rep"))
+    sets = materialise(_sets(documents, materialise(bucketed.select("_rep", "_s1", "_s2").distinct())))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of structs whose full sets are similar enough, as (a, b) of doc_ids."""
-        pairs = materialise(pairs)
-        wanted = materialise(pairs.select("a._rep", "a._s1", "a._s2").union(pairs.select("b._rep", "b._s1", "b._s2")).distinct())
-        sets = materialise(_sets(documents, wanted))
         both = (
             pairs.select(F.col("a._rep").alias("a"), F.col("b._rep").alias("b"))
-            .join(sets.toDF("a", "_set_a"), "a").join(sets.toDF("b", "_set_b"), "b")
+            .join(sets.select(F.col("_rep").alias("a"), F.col("_set").alias("_set_a")), "a")
+            .join(sets.select(F.col("_rep").alias("b"), F.col("_set").alias("_set_b")), "b")
         )
         common = F.size(F.array_intersect("_set_a", "_set_b"))
         union = F.size("_set_a") + F.size("_set_b") - common
@@ -228,16 +264,19 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     )
     links = materialise(confirmed(first))
     components = materialise(connected_components(links))
-    # Then the classes of a bucket that are still apart.
+    # Then the classes that are still apart from others of a bucket.
     labelled = materialise(
         bucketed.join(components, F.col("_rep") == F.col("node"), "left")
         .select("_key", member.alias("m"), F.coalesce("component", "_rep").alias("c")))
-    apart = shared_keys(labelled, "_key", "c")
-    left, right = apart.select("_key", F.col("m").alias("a"), F.col("c").alias("ca")), apart.select(
-        "_key", F.col("m").alias("b"), F.col("c").alias("cb"))
+    apart = materialise(shared_keys(labelled, "_key", "c").select(F.col("m._rep").alias("_rep"), "m", "c").distinct())
+    rarest = _rarest(sets.join(apart.select("_rep"), "_rep", "left_semi"), percent)
+    met = materialise(apart.join(rarest, "_rep").join(sets.select("_rep", "_bits"), "_rep").select(
+        "_shingle", F.struct("m.*", "_bits").alias("m"), "c"))
+    left, right = (met.select("_shingle", F.col("m").alias(side), F.col("c").alias("c" + side)) for side in "ab")
     second = (
-        left.join(right, "_key")
-        .filter((F.col("ca") != F.col("cb")) & (F.col("b._rep") < F.col("a._rep")) & _alike("a", "b", percent))
+        left.join(right, "_shingle")
+        .filter((F.col("ca") != F.col("cb")) & (F.col("b._rep") < F.col("a._rep")) & _alike("a", "b", percent)
+                & _near_maps("a", "b", percent))
         .select("a", "b").distinct()
     )
     links = links.union(materialise(confirmed(second)))
