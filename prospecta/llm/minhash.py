@@ -153,27 +153,19 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             for first, last, data, places in _pieces(batch.column(1)):
                 value, at = shingles(data, places)
                 s1, s2, _ = signatures(value, at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first),
                      pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64))),
                      pa.array(list(_bitmaps(value, at)), pa.list_(pa.int64()))],
-                    names=["_rep", "_s1", "_s2", "_set", "_bits"])
-
-    texts = in_buckets(documents.select(F.col("doc_id").alias("_rep"), "text"), "_rep", wanted)
-    texts = texts.join(wanted.select("_rep").distinct(), "_rep", "left_semi")
-    sets = texts.mapInArrow(built, texts.select("_rep").schema.add("_s1", LongType()).add("_s2", LongType())
-                            .add("_set", ArrayType(LongType())).add("_bits", ArrayType(LongType())))
-    return sets.join(wanted, ["_rep", "_s1", "_s2"], "left_semi").dropDuplicates(["_rep", "_s1", "_s2"]).select("_rep", "_set", "_bits")
-
-
-def _keys(classes: DataFrame) -> DataFrame:
-    """Every class with each of its keys: a chunk with ``ERRORS`` of its values left out."""
-    keys = []
-    for chunk in range(CHUNKS):
-        for number, kept in enumerate(_MASKS):
-            mask = sum(((1 << BITS) - 1) << (BITS * i) for i in kept)
-            keys.append(F.xxhash64(F.lit(chunk * len(_MASKS) + number), F.col(f"_c{chunk}").bitwiseAND(F.lit(mask))))
-    return classes.filter("n_shingles > 0").withColumn("_key", F.explode(F.array(*keys)))
+                    names=["_rep", "_set", "_bits"])
+                own = (s1.view(np.int64) == batch.column(2).to_numpy()[first:last]) & (
+                    s2.view(np.int64) == batch.column(3).to_numpy()[first:last])
+                yield out.filter(pa.array(own))
+
+    texts = in_buckets(documents.select(F.col("doc_id").alias("_rep"), "text"), "_rep", wanted).join(wanted, "_rep")
+    texts = texts.select("_rep", "text", "_s1", "_s2")
+    return texts.mapInArrow(
+        built, texts.select("_rep").schema.add("_set", ArrayType(LongType())).add("_bits", ArrayType(LongType())))
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
