@@ -27,7 +27,7 @@ SAMPLE_DOCUMENTS = 400
 SAMPLE_BYTES = 8_000
 MAX_LANGUAGES = 64
 #: Texts are scored in pieces of about so many bytes, which bounds a task's memory.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 class Table:

@@ -27,7 +27,7 @@ from prospecta.session import materialise
 CAPACITY = 1024
 END = 2
 #: A task's table of words and their ids is emptied at this size, which bounds its memory.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 
 
 MARKS = frozenset(".,;:!?)")
