@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,16 @@ def build_session(master: str | None = None, app_name: str = "prospecta", **extr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's checkpoint folder; a temporary one only where none is configured and all runs in one machine (tests).
+
+    Elsewhere a temporary folder would be another one on each executor, so a missing setting is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="prospecta-"))
         current = context.getCheckpointDir()
     return current
