@@ -290,7 +290,7 @@ FLOW = {
     "incoming": "SELECT * EXCLUDE (batch_id), 26 AS batch_id, "
                 f"((position * 7919 + 13) % 10001)::DOUBLE / 10000::DOUBLE AS p FROM typed WHERE {VALID_SQL}",
     **FOLDED,
-    "added": "SELECT (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 4 = 0) + position AS prediction_id, "
+    "added": "SELECT (SELECT max(o_orderkey) FROM orders) + position AS prediction_id, "
              "(SELECT max(o_orderkey) FROM orders) + position AS campaign_id, u.customer_id, i.phone_number, i.batch_id, "
              "CASE WHEN p >= 0.6::DOUBLE THEN 'Yes' ELSE 'No' END AS prediction, round_even(p, 4) AS probability, "
              + ", ".join(f"i.{c}" for c in S.CAMPAIGN_FIELDS) + " FROM incoming i JOIN upserted u USING (phone_number)",
