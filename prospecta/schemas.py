@@ -37,11 +37,26 @@ CAMPAIGN_FIELDS = ["contact", "day", "month", "campaign", "pdays", "previous", "
 FEATURES = CUSTOMER_FIELDS + CAMPAIGN_FIELDS
 UPLOAD_FIELDS = ["phone_number"] + FEATURES
 
-# Anonymous names of the training file, in file order; duration is the only one that is no feature.
+# Anonymous names of the training file, in file order; duration is the only one that is no feature.
 TRAINING_COLUMNS = {
-    f"V{i}": name
-    for i, name in enumerate(CUSTOMER_FIELDS + ["contact", "day", "month", "duration"] + CAMPAIGN_FIELDS[3:], 1)
-} | {"Class": "target"}
+    "V1": "age",
+    "V2": "job",
+    "V3": "marital",
+    "V4": "education",
+    "V5": "default",
+    "V6": "balance",
+    "V7": "housing",
+    "V8": "loan",
+    "V9": "contact",
+    "V10": "day",
+    "V11": "month",
+    "V12": "duration",
+    "V13": "campaign",
+    "V14": "pdays",
+    "V15": "previous",
+    "V16": "poutcome",
+    "Class": "target",
+}
 
 # --- Fixed values: thresholds and defaults ------------------------------------------------
 DECISION_THRESHOLD = 0.6

@@ -15,9 +15,8 @@ registry = Registry()
 add = registry.add
 
 CLEAN_COLUMNS = list(S.TRAINING_COLUMNS.values())
-KEY_SQL = "md5(concat_ws('|', '42', " + ", ".join(
-    "coalesce(CAST(CAST(round(balance * 100) AS BIGINT) AS VARCHAR), '~')" if name == "balance"
-    else f"coalesce(CAST(\"{name}\" AS VARCHAR), '~')" for name in CLEAN_COLUMNS) + "))"
+KEY_SQL = "md5('2:42' || " + " || ".join(
+    f"coalesce(length(CAST(\"{name}\" AS VARCHAR)) || ':' || CAST(\"{name}\" AS VARCHAR), '~')" for name in CLEAN_COLUMNS) + ")"
 KEYED = CLEAN | {"keyed": f"SELECT *, {KEY_SQL} AS row_key FROM cleaned WHERE target IS NOT NULL"}
 
 

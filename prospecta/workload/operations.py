@@ -10,8 +10,8 @@ from prospecta.operators import logs, maintain
 from prospecta.plans import batch_scoring
 from prospecta.workload.fixtures import Registry, cte, load
 from prospecta.workload.relational import (
-    BLANKS_SQL, CAMPAIGN_COLUMNS, CLOCK, CLOCK_SQL, CUSTOMER_COLUMNS, FLAGGED, KEPT_SQL, STATUS_SQL, TYPED_UPLOAD_SQL,
-    VALID_SQL, _kept, customer_table, customers, flagged, in_list, rule_counts_sql,
+    BLANKS_SQL, CAMPAIGN_COLUMNS, CLOCK, CLOCK_SQL, CUSTOMER_COLUMNS, FLAGGED, KEPT_SQL, KNOWN_BATCHES_SQL, STATUS_SQL,
+    TYPED_UPLOAD_SQL, VALID_SQL, _kept, _known_batches, customer_table, customers, flagged, in_list, rule_counts_sql,
 )
 
 registry = Registry()
@@ -234,7 +234,7 @@ def _(spark, folder):
 
 
 # Every upload arrives once per nation and again per region; half of the nations are known.
-@add("registered_batches", cte("fx_batch_uploads", known="SELECT * FROM fx_batch_uploads WHERE batch_id % 2 = 0",
+@add("registered_batches", cte("fx_batch_uploads", known=KNOWN_BATCHES_SQL,
      uploads="SELECT sha256(n_name) AS file_hash, n_name || '.csv' AS file_name, 10 + n_nationkey AS total_records, n_nationkey AS position FROM nation "
              "UNION ALL SELECT sha256(n_name), n_name || '_again.csv', 10 + n_nationkey, 100 + n_nationkey FROM nation",
      once="SELECT file_hash, arg_min(file_name, position) AS file_name, arg_min(total_records, position) AS total_records, "
@@ -242,8 +242,7 @@ def _(spark, folder):
 SELECT batch_id, file_name, total_records, file_hash, status FROM known UNION ALL
 SELECT (SELECT max(batch_id) FROM known) + row_number() OVER (ORDER BY first_position), file_name, total_records, file_hash, 'pending' FROM once""")
 def _(spark, folder):
-    known = maintain.insert_defaults(
-        load(spark, folder, "fx_batch_uploads").filter(F.col("batch_id") % 2 == 0), "batch_uploads", CLOCK)
+    known = maintain.insert_defaults(_known_batches(spark, folder), "batch_uploads", CLOCK)
     nation = load(spark, folder, "nation")
     uploads = [
         nation.select(F.sha2("n_name", 256).alias("file_hash"), F.concat("n_name", F.lit(ending)).alias("file_name"),

@@ -417,19 +417,36 @@ def _(spark, folder):
         load(spark, folder, "fx_batch_uploads"), customers(spark, folder), load(spark, folder, "fx_predictions"))
 
 
-# Every third customer is missing, and campaign rows exist only for odd customers.
+# Whole tables with some keys moved to where nothing looks for them: every third customer has another id and phone number,
+# even customers give their campaign rows to the next, every other batch has another file hash, late batches another id.
 KEPT_SQL = {
-    "kept": "SELECT * FROM fx_customers WHERE customer_id % 3 <> 0",
-    "contacted": "SELECT * FROM fx_campaign_history WHERE customer_id % 2 = 1",
+    "kept": "SELECT * REPLACE (CASE WHEN customer_id % 3 = 0 THEN -customer_id ELSE customer_id END AS customer_id, "
+            "CASE WHEN customer_id % 3 = 0 THEN '8' || substr(phone_number, 2) ELSE phone_number END AS phone_number) "
+            "FROM fx_customers",
+    "contacted": "SELECT * REPLACE (CASE WHEN customer_id % 2 = 0 THEN customer_id + 1 ELSE customer_id END AS customer_id) "
+                 "FROM fx_campaign_history",
 }
+KNOWN_BATCHES_SQL = """SELECT * REPLACE (CASE WHEN batch_id % 2 = 1 THEN sha256(file_hash) ELSE file_hash END AS file_hash)
+FROM fx_batch_uploads"""
 
 
 def _kept(spark, folder):
-    return customers(spark, folder).filter(F.col("customer_id") % 3 != 0)
+    moved = F.col("customer_id") % 3 == 0
+    return customers(spark, folder).withColumns({
+        "customer_id": F.when(moved, -F.col("customer_id")).otherwise(F.col("customer_id")),
+        "phone_number": F.when(moved, F.concat(F.lit("8"), F.expr("substr(phone_number, 2)"))).otherwise(
+            F.col("phone_number")),
+    })
 
 
 def _contacted(spark, folder):
-    return load(spark, folder, "fx_campaign_history").filter(F.col("customer_id") % 2 == 1)
+    return load(spark, folder, "fx_campaign_history").withColumn(
+        "customer_id", F.col("customer_id") + F.when(F.col("customer_id") % 2 == 0, 1).otherwise(0))
+
+
+def _known_batches(spark, folder):
+    return load(spark, folder, "fx_batch_uploads").withColumn(
+        "file_hash", F.when(F.col("batch_id") % 2 == 1, F.sha2("file_hash", 256)).otherwise(F.col("file_hash")))
 
 
 @add("accepted_predictions", cte("fx_customers", "fx_predictions", "fx_campaign_history", **KEPT_SQL, **FLAGGED) + """
@@ -458,10 +475,11 @@ def _(spark, folder):
 
 
 @add("customer_batch_check", cte("fx_customers", "fx_batch_uploads") + """
-SELECT customer_id, batch_id, CASE WHEN batch_id IS NULL OR batch_id IN (SELECT batch_id FROM fx_batch_uploads WHERE batch_id <= 15)
-    THEN 'accepted' ELSE 'batch_not_found' END AS verdict FROM fx_customers""")
+SELECT customer_id, batch_id, CASE WHEN batch_id IS NULL OR batch_id IN
+    (SELECT CASE WHEN batch_id > 15 THEN batch_id + 100 ELSE batch_id END FROM fx_batch_uploads) THEN 'accepted' ELSE 'batch_not_found' END AS verdict FROM fx_customers""")
 def _(spark, folder):
-    batches = load(spark, folder, "fx_batch_uploads").filter(F.col("batch_id") <= 15)
+    batches = load(spark, folder, "fx_batch_uploads").withColumn(
+        "batch_id", F.col("batch_id") + F.when(F.col("batch_id") > 15, 100).otherwise(0))
     good, bad = campaign.accept_customers(customers(spark, folder), batches)
     return good.select("customer_id", "batch_id", F.lit("accepted").alias("verdict")).unionByName(
         bad.select("customer_id", "batch_id", F.col("reason").alias("verdict")))
@@ -489,13 +507,12 @@ def _(spark, folder):
 
 @add("file_hash_lookup", cte("fx_batch_uploads", incoming="SELECT sha256(n_name) AS file_hash FROM nation "
                              "UNION ALL SELECT sha256(r_name || '?') FROM region",
-                             known="SELECT * FROM fx_batch_uploads WHERE batch_id % 2 = 0") + """
+                             known=KNOWN_BATCHES_SQL) + """
 SELECT file_hash, batch_id IS NOT NULL AS "exists", batch_id, status FROM incoming LEFT JOIN known USING (file_hash)""")
 def _(spark, folder):
     incoming = load(spark, folder, "nation").select(F.sha2("n_name", 256).alias("file_hash")).unionByName(
         load(spark, folder, "region").select(F.sha2(F.concat("r_name", F.lit("?")), 256).alias("file_hash")))
-    known = load(spark, folder, "fx_batch_uploads").filter(F.col("batch_id") % 2 == 0)
-    return campaign.check_file_hashes(incoming, known)
+    return campaign.check_file_hashes(incoming, _known_batches(spark, folder))
 
 
 @add("predictions_with_job", cte("fx_customers", "fx_predictions", **FLAGGED)
@@ -527,14 +544,15 @@ def _(spark, folder):
     return quality.clean(raw.unionByName(raw.filter("V12 < 9")))
 
 
-@add("data_profile", cte("fx_raw_logs") + """
-SELECT (SELECT count(*) FROM fx_raw_logs) AS row_count,
-    (SELECT count(*) FILTER (WHERE method IS NULL) + count(*) FILTER (WHERE endpoint IS NULL)
-          + count(*) FILTER (WHERE status_code IS NULL) + count(*) FILTER (WHERE level IS NULL) FROM fx_raw_logs) AS null_values,
-    (SELECT count(*) FROM fx_raw_logs) - (SELECT count(*) FROM
-        (SELECT DISTINCT method, endpoint, status_code, level FROM fx_raw_logs)) AS duplicate_rows, 4::BIGINT AS column_count""")
+@add("data_profile", cte("fx_raw_bank", holed="SELECT * REPLACE (nullif(V16, 'unknown') AS V16) FROM fx_raw_bank",
+                        profiled="SELECT * FROM holed UNION ALL SELECT * FROM holed WHERE V12 < 9") + f"""
+SELECT count(*) AS row_count, {' + '.join(f'count(*) FILTER (WHERE "{name}" IS NULL)' for name in S.TRAINING_COLUMNS)} AS null_values,
+    count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM profiled)) AS duplicate_rows, 17::BIGINT AS column_count
+FROM profiled""")
 def _(spark, folder):
-    return quality.profile(load(spark, folder, "fx_raw_logs").select("method", "endpoint", "status_code", "level"))
+    """The whole training table, an unknown outcome taken as null, with some rows repeated."""
+    raw = load(spark, folder, "fx_raw_bank").withColumn("V16", F.nullif(F.col("V16"), F.lit("unknown")))
+    return quality.profile(raw.unionByName(raw.filter("V12 < 9")))
 
 
 @add("target_distribution", cte("fx_raw_bank", **CLEAN) + """

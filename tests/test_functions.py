@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from prospecta import schemas as S
 from prospecta.functions import scalars as X
 from prospecta.functions import validation as V
+from prospecta.functions.hashing import row_key
 
 
 def column(spark, values, kind, expression):
@@ -105,3 +106,12 @@ def test_training_names_in_file_order():
     assert S.TRAINING_COLUMNS["V1"] == "age" and S.TRAINING_COLUMNS["V12"] == "duration"
     assert S.TRAINING_COLUMNS["V16"] == "poutcome" and S.TRAINING_COLUMNS["Class"] == "target"
     assert len(S.FEATURES) == 15
+
+
+@pytest.mark.parametrize("kind, rows", [
+    ("a double", [(0.0123,), (0.0141,), (1e-300,), (2e-300,), (None,)]),
+    ("a string, b string", [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "~"), (None, "a"), ("a", ""), ("", "a"), ("1:a", "")]),
+])
+def test_row_keys_tell_rows_apart(spark, kind, rows):
+    df = spark.createDataFrame(rows, kind)
+    assert df.select(row_key(df, df.columns, 42)).distinct().count() == len(rows)
