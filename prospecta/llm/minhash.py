@@ -247,10 +247,12 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of structs whose full sets are similar enough, as (a, b) of doc_ids."""
+        pairs = materialise(pairs.select(F.col("a._rep").alias("a"), F.col("b._rep").alias("b")))
+        paired = pairs.select(F.explode(F.array("a", "b")).alias("_rep"))
+        needed = in_buckets(sets.select("_rep", "_set"), "_rep", paired)  # few sets are in a pair
         both = (
-            pairs.select(F.col("a._rep").alias("a"), F.col("b._rep").alias("b"))
-            .join(sets.select(F.col("_rep").alias("a"), F.col("_set").alias("_set_a")), "a")
-            .join(sets.select(F.col("_rep").alias("b"), F.col("_set").alias("_set_b")), "b")
+            pairs.join(needed.select(F.col("_rep").alias("a"), F.col("_set").alias("_set_a")), "a")
+            .join(needed.select(F.col("_rep").alias("b"), F.col("_set").alias("_set_b")), "b")
         )
         common = F.size(F.array_intersect("_set_a", "_set_b"))
         union = F.size("_set_a") + F.size("_set_b") - common
@@ -271,7 +273,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         bucketed.join(components, F.col("_rep") == F.col("node"), "left")
         .select("_key", member.alias("m"), F.coalesce("component", "_rep").alias("c")))
     apart = materialise(shared_keys(labelled, "_key", "c").select(F.col("m._rep").alias("_rep"), "m", "c").distinct())
-    rarest = _rarest(sets.join(apart.select("_rep"), "_rep", "left_semi"), percent)
+    rarest = _rarest(in_buckets(sets, "_rep", apart).join(apart.select("_rep"), "_rep", "left_semi"), percent)
     met = materialise(apart.join(rarest, "_rep").join(sets.select("_rep", "_bits"), "_rep").select(
         "_shingle", F.struct("m.*", "_bits").alias("m"), "c"))
     left, right = (met.select("_shingle", F.col("m").alias(side), F.col("c").alias("c" + side)) for side in "ab")
