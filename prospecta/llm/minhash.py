@@ -189,9 +189,9 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     counts = members.groupBy("_shingle").agg(F.count("*").alias("_sets")).filter("_sets > 1")
     shared = members.join(counts, "_shingle").groupBy("_rep").agg(
         F.sort_array(F.collect_list(F.struct("_sets", "_shingle"))).alias("_shared"))
-    size = F.size("_set")
+    size = F.col("_size")
     prefix = size - F.ceil(F.lit(percent) * size / 100) + 1 - (size - F.size("_shared"))
-    return sets.join(shared, "_rep").select("_rep", "_shared", prefix.cast("int").alias("_prefix")).filter("_prefix > 0").select(
+    return sets.select("_rep", F.size("_set").alias("_size")).join(shared, "_rep").select("_rep", "_shared", prefix.cast("int").alias("_prefix")).filter("_prefix > 0").select(
         "_rep", F.explode(F.slice("_shared", F.lit(1), F.col("_prefix"))).alias("_s")).select("_rep", "_s._shingle")
 
 
