@@ -273,7 +273,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         bucketed.join(components, F.col("_rep") == F.col("node"), "left")
         .select("_key", member.alias("m"), F.coalesce("component", "_rep").alias("c")))
     apart = materialise(shared_keys(labelled, "_key", "c").select(F.col("m._rep").alias("_rep"), "m", "c").distinct())
-    rarest = _rarest(in_buckets(sets, "_rep", apart).join(apart.select("_rep"), "_rep", "left_semi"), percent)
+    # The sieve alone, not an exact join, which would shuffle the sets: a set too many alters the order, not what is found.
+    rarest = _rarest(in_buckets(sets, "_rep", apart), percent)
     met = materialise(apart.join(rarest, "_rep").join(sets.select("_rep", "_bits"), "_rep").select(
         "_shingle", F.struct("m.*", "_bits").alias("m"), "c"))
     left, right = (met.select("_shingle", F.col("m").alias(side), F.col("c").alias("c" + side)) for side in "ab")
