@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from prospecta import schemas as S
 from prospecta.operators.ranking import running_totals
+from prospecta.session import materialise
 
 # Fixed values of the threshold search, in hundredths.
 LOWEST, HIGHEST = 30, 80
@@ -106,7 +107,7 @@ def roc_auc(
 
 def curve_points(df: DataFrame, score: str = "probability", label: str = "target", bounded: bool = False) -> DataFrame:
     """ROC and precision-recall coordinates at every distinct score, used as threshold."""
-    counts = score_counts(df, score, label)
+    counts = materialise(score_counts(df, score, label))  # read again for the totals
     totals = running_totals(
         counts, [F.col(score).desc()], {"tp": "positives", "fp": "negatives"}, bounded=bounded)
     sized = totals.withColumns({

@@ -78,14 +78,17 @@ def known_customers(rows: DataFrame, customers: DataFrame) -> tuple[DataFrame, D
 def accept_predictions(
     predictions: DataFrame, customers: DataFrame, campaigns: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """A prediction needs an existing customer that has campaign data."""
-    keys = customers.select("customer_id")
-    contacted = campaigns.select("customer_id").distinct()
-    # The tests are made on the unique customers; each output then joins the predictions once.
-    good = predictions.join(keys.join(contacted, "customer_id", "left_semi"), "customer_id", "left_semi")
-    silent = predictions.join(keys.join(contacted, "customer_id", "left_anti"), "customer_id", "left_semi")
-    _, unknown = known_customers(predictions, customers)
-    return good, unknown.unionByName(silent.withColumn("reason", F.lit("no_campaign_data")))
+    """A prediction needs an existing customer that has campaign data.
+
+    The tests are made on the unique customers; each output reads every table once.
+    """
+    contacted = campaigns.select("customer_id").distinct().withColumn("_contacted", F.lit(True))
+    tested = customers.select("customer_id").distinct().withColumn("_known", F.lit(True)).join(
+        contacted, "customer_id", "left")
+    reason = F.when(F.col("_known").isNull(), "customer_not_found").when(F.col("_contacted").isNull(), "no_campaign_data")
+    checked = predictions.join(tested, "customer_id", "left").select(
+        *[f"`{name}`" for name in predictions.columns], reason.alias("reason"))
+    return checked.filter("reason IS NULL").drop("reason"), checked.filter("reason IS NOT NULL")
 
 
 def accept_customers(customers: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:

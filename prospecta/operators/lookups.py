@@ -43,6 +43,10 @@ def customers_of_batch(customers: DataFrame, batch_id: int) -> DataFrame:
     return customers.filter(F.col("batch_id") == batch_id)
 
 
+def log_by_id(logs: DataFrame, log_id: int) -> DataFrame:
+    return logs.filter(F.col("log_id") == log_id)
+
+
 def customer_part(records: DataFrame) -> DataFrame:
     return records.select("phone_number", *[f"`{c}`" for c in S.CUSTOMER_FIELDS], "batch_id")
 

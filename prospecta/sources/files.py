@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +15,36 @@ _KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace":
 
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.RAW_TRAINING).option("header", True).csv(path)
+    """Training rows; a file whose header has other names or another order is an error, not misread."""
+    return spark.read.schema(S.RAW_TRAINING).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder, those with the same header line together; folded to one row per file by the tasks."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    headers = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in headers.orderBy("file").toLocalIterator():  # as many as the files that the driver lists anyway
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(groups.values())
 
 
 def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
     """Customer files as text columns, with the file each row came from.
 
-    Columns are matched by header name, so their order in the file is free and a missing column shows
-    up as missing; ``check_upload_header`` reports those.
+    Columns are matched by header name in each file, so their order is free. A column that all files lack shows
+    up as missing, and ``check_upload_header`` reports it; one that only some lack is NULL in their rows.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
+    def read(paths: str | list[str]) -> DataFrame:
+        raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(paths)
+        return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
+
+    groups = _files_by_header(spark, path)
+    if len(groups) < 2:
+        return read(path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(read, groups))
 
 
 def read_upload_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -16,12 +16,35 @@ from prospecta.functions import validation as V
 from prospecta.functions.hashing import row_key
 from prospecta.operators import logs
 from prospecta.operators.ranking import with_positions
+from prospecta.session import materialise
 
-IDS_PER_BATCH = 1 << 40
+#: Where a record came from, as far as the stream tells: with the line, the order of arrival.
+ARRIVAL = ("_file_time", "_file_path", "_file_block")
 
 
 def json_log_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
-    return spark.readStream.schema(S.RAW_LOGS).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    """Log records with the file and block that each came from."""
+    arriving = spark.readStream.schema(S.RAW_LOGS).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return arriving.select(
+        "*", F.col("_metadata.file_modification_time").alias("_file_time"),
+        F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.file_block_start").alias("_file_block"))
+
+
+def _last_id(spark: SparkSession, path: str, epoch: int) -> int:
+    """The largest id given before a batch, from the mark that the batch before has left."""
+    if epoch == 0:
+        return 0
+    return spark.read.schema("last_id bigint").parquet(f"{path}/marks/epoch={epoch - 1}").first()["last_id"]
+
+
+def _drop_generations(spark: SparkSession, path: str, before: int) -> None:
+    """Generations older than that go; their readers have had the time of a whole generation to switch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/logs")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.listStatus(folder):
+        name, _, number = found.getPath().getName().partition("=")
+        if name == "generation" and int(number) < before:
+            system.delete(found.getPath(), True)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +68,10 @@ def start_ingest(
 ) -> StreamingQuery:
     """Normalise, validate and append log records; bad ones go to ``quarantine``.
 
-    With ``retain_every`` a new generation starts every that many batches: it begins with the newest
-    ``keep`` rows so far, and readers switch to it.
+    Ids go on from the last batch in order of arrival: time of the file, its path, the place in it. A stream without
+    the ``ARRIVAL`` columns is numbered by its contents. With ``retain_every`` a new generation starts every that
+    many batches: it begins with the newest ``keep`` rows so far, readers switch to it, and the generations
+    before the previous one are deleted.
     """
     rules = V.log_rules()
 
@@ -58,18 +83,31 @@ def start_ingest(
         generation = generation_of(epoch)
         if "timestamp" not in batch.columns:
             batch = batch.withColumn("timestamp", F.current_timestamp())
+        given = "log_id" in batch.columns
+        # The source is parsed once; within a block, the running number follows the lines.
+        batch = materialise(batch.withColumn("_line", F.monotonically_increasing_id()))
         good, bad = V.split_valid(batch, rules)
-        if "log_id" not in batch.columns:
-            # Ascending without a look at the table, and a replay numbers the same rows alike.
-            keyed = good.withColumn("key", row_key(good, [c for c in good.columns if c != "timestamp"], epoch))
-            good = with_positions(keyed, [F.col("key")], "place").withColumn(
-                "log_id", F.col("place") + F.lit(epoch * IDS_PER_BATCH))
+        bad = bad.drop("_line", *ARRIVAL)
+        if not given:
+            if set(ARRIVAL) <= set(batch.columns):
+                order = [*ARRIVAL, "_line"]
+            else:
+                good = good.withColumn(
+                    "_key", row_key(good, [c for c in good.columns if c not in ("timestamp", "_line")], epoch))
+                order = ["_key", "_line"]
+            start = _last_id(spark, path, epoch)
+            good = with_positions(good, [F.col(c) for c in order], "_place").withColumn("log_id", F.col("_place") + F.lit(start))
+            last = good.agg(F.max("log_id").alias("last_id"))
+            last = last.select(F.coalesce("last_id", F.lit(start)).cast("long").alias("last_id"))
+            last.coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch}")
         rows = logs.stored_logs(good)
         before = _earlier(spark, path, generation_of(epoch - 1), epoch) if epoch and generation == epoch else None
         if before is not None:
             rows = logs.retain(before.select(*rows.columns).unionByName(rows), keep)
         rows.write.mode("overwrite").parquet(f"{path}/logs/generation={generation}/epoch={epoch}")
         bad.write.mode("overwrite").parquet(f"{path}/quarantine/epoch={epoch}")
+        if before is not None:
+            _drop_generations(spark, path, generation_of(epoch - 1))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

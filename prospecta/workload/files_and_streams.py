@@ -82,7 +82,9 @@ def _(spark, folder):
     found = files.file_hashes(spark, f"{path}/*.csv")
     sizes = files.read_upload_csv(spark, path).groupBy(
         F.element_at(F.split("source_file", "/"), -1).alias("file_name")).agg(F.count("*").cast("int").alias("total_records"))
-    incoming = found.join(sizes, "file_name").withColumn("position", F.xxhash64("file_name"))
+    # Part names are random; the order of the contents is not.
+    incoming = found.join(sizes, "file_name").withColumn(
+        "position", F.conv(F.substring("file_hash", 1, 15), 16, 10).cast("long"))
     known = maintain.insert_defaults(load(spark, folder, "fx_batch_uploads"), "batch_uploads", CLOCK)
     return maintain.register_batches(known, incoming, CLOCK).drop("created_at", "uploaded_at", "file_hash", "file_name")
 
