@@ -5,6 +5,7 @@ from prospecta import schemas as S
 from prospecta.functions import scalars as X
 from prospecta.functions import validation as V
 from prospecta.functions.hashing import row_key
+from prospecta.sources import files
 
 
 def column(spark, values, kind, expression):
@@ -115,3 +116,11 @@ def test_training_names_in_file_order():
 def test_row_keys_tell_rows_apart(spark, kind, rows):
     df = spark.createDataFrame(rows, kind)
     assert df.select(row_key(df, df.columns, 42)).distinct().count() == len(rows)
+
+
+def test_upload_columns_follow_the_header_of_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("phone_number,job\n91234567,student\n")
+    (tmp_path / "b 2.csv").write_text("job,phone_number\nretired,91234568\n")
+    (tmp_path / "c.csv").write_text("phone_number\n91234569\n")
+    rows = files.read_upload_csv(spark, str(tmp_path)).orderBy("phone_number").collect()
+    assert [(r["phone_number"], r["job"]) for r in rows] == [("91234567", "student"), ("91234568", "retired"), ("91234569", None)]
