@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from prospecta.llm import language, lines, minhash, mixing, packing
 from prospecta.session import scratch_path
 
+#: Near copies share at least so many percent of their shingles (op4_minhash_near_dedup has its own 85).
+NEAR = 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter or of unclear language go."""
@@ -23,8 +26,9 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are the smallest doc_id of their component of near duplicates; of equal doc_ids, one row each."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    """Documents that are the smallest doc_id of their component of near duplicates, which are at least ``NEAR`` percent alike;
+    of equal doc_ids, one row each."""
+    kept = minhash.near_duplicates(docs, percent=NEAR).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 

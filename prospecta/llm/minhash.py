@@ -1,16 +1,20 @@
 """Near-duplicate documents: a multi-index Hamming join over b-bit MinHash signatures, confirmed on full shingle sets.
 
-A signature has ``CHUNKS`` chunks of ``PER_CHUNK`` MinHash values of ``BITS`` bits; the distance of two signatures is the
-number of values that differ. By the pigeonhole principle, two signatures at most ``RADIUS`` apart have a chunk
-in which at most ``ERRORS`` values differ; so every way of leaving ``ERRORS`` values of a chunk out gives a key, and such
-signatures share a key for certain. At a similarity of 0.85, a value differs with probability 0.15, and more than
-``RADIUS`` of 24 do with probability 2e-5.
+A signature has ``VALUES`` MinHash values of ``BITS`` bits in chunks; the distance of two signatures is the number of values
+that differ. Every way of leaving ``errors`` values of a chunk out gives a key, so two signatures share a key if a chunk has
+at most ``errors`` values that differ; those that share one are compared if they are at most ``radius`` apart. Chunks, errors
+and radius follow from the least similarity that makes a link (``layout``): a pair of exactly that similarity, of which each
+value differs with probability 1 - similarity, is missed with a probability of at most ``MISS``. At 0.85 that is 6 chunks,
+radius 11 and 5.9e-5, at 0.80 the same chunks, radius 13 and 6.7e-5; more similar pairs are missed less often.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,11 @@ from prospecta.llm.common import connected_components, in_buckets, mixed, shared
 from prospecta.session import materialise
 
 WORDS = 5
-CHUNKS, PER_CHUNK, ERRORS, BITS = 6, 4, 1, 15
-RADIUS = CHUNKS * (ERRORS + 1) - 1
+VALUES, BITS = 24, 15
+#: Chunks and errors, the most selective keys first.
+LAYOUTS = ((6, 1), (8, 1), (12, 1), (24, 0))
+#: How probable it may be that a pair of exactly the least similarity is missed.
+MISS = 1e-4
 #: Bits of the map of a set by which pairs are sifted before their full sets are compared.
 MAP_BITS = 1024
 #: Texts are hashed in pieces of about so many bytes (a longer text is one piece), which bounds a task's memory.
@@ -31,9 +38,41 @@ PIECE = 1 << 21
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MINHASH = _RANDOM.integers(0, 1 << 63, CHUNKS * PER_CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MINHASH = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_MASKS = [[i for i in range(PER_CHUNK) if i not in out] for out in combinations(range(PER_CHUNK), ERRORS)]
+
+
+class Layout(NamedTuple):
+    """How signatures are cut into chunks, how many values a key leaves out, and how far apart compared ones may be."""
+
+    chunks: int
+    errors: int
+    radius: int
+
+    @property
+    def per_chunk(self) -> int:
+        return VALUES // self.chunks
+
+    def miss(self, percent: int) -> float:
+        """The probability that two sets of exactly this similarity share no key or are further apart than the radius."""
+        p, n = 1 - percent / 100, self.per_chunk
+        share = np.array([comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        apart = np.where(np.arange(n + 1) > self.errors, share, 0)
+        everywhere, keyless = np.ones(1), np.ones(1)
+        for _ in range(self.chunks):
+            everywhere, keyless = np.convolve(everywhere, share), np.convolve(keyless, apart)
+        return float(everywhere[self.radius + 1:].sum() + keyless[: self.radius + 1].sum())
+
+
+@cache
+def layout(percent: int) -> Layout:
+    """The most selective keys and the smallest radius that miss a pair of the least similarity with at most ``MISS``."""
+    for chunks, errors in LAYOUTS:
+        for radius in range(VALUES + 1):
+            found = Layout(chunks, errors, radius)
+            if found.miss(percent) <= MISS:
+                return found
+    raise ValueError(f"{VALUES} values are too few to find pairs of {percent} percent with a miss of at most {MISS}")
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -122,26 +161,26 @@ def _bitmaps(value: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.packbits(flags, axis=1).view(np.int64)
 
 
-def _hashed(documents: DataFrame) -> DataFrame:
+def _hashed(documents: DataFrame, cut: Layout) -> DataFrame:
     """doc_id, n_shingles, _s1, _s2 (hashes of the set), the signature (a long of values for each chunk)."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             sizes, s1, s2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            sig = np.zeros((n, CHUNKS), np.uint64)
+            sig = np.zeros((n, cut.chunks), np.uint64)
             for first, last, data, places in _pieces(batch.column(1)):
                 value, at = shingles(data, places)
                 sizes[first:last] = np.diff(at)
                 s1[first:last], s2[first:last], values = signatures(value, at)
-                for chunk in range(CHUNKS):
-                    for i in range(PER_CHUNK):
-                        sig[first:last, chunk] |= values[:, chunk * PER_CHUNK + i] << np.uint64(BITS * i)
+                for chunk in range(cut.chunks):
+                    for i in range(cut.per_chunk):
+                        sig[first:last, chunk] |= values[:, chunk * cut.per_chunk + i] << np.uint64(BITS * i)
             arrays = [pa.array(x.view(np.int64)) for x in (sizes, s1, s2, *np.ascontiguousarray(sig.T))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
 
     slim = documents.select("doc_id", "text")
     schema = slim.select("doc_id").schema
-    for name in ("n_shingles", "_s1", "_s2", *[f"_c{i}" for i in range(CHUNKS)]):
+    for name in ("n_shingles", "_s1", "_s2", *[f"_c{i}" for i in range(cut.chunks)]):
         schema = schema.add(name, LongType())
     return slim.mapInArrow(hashed, schema)
 
@@ -168,13 +207,14 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         built, texts.select("_rep").schema.add("_set", ArrayType(LongType())).add("_bits", ArrayType(LongType())))
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """Every class with each of its keys: a chunk with ``ERRORS`` of its values left out."""
+def _keys(classes: DataFrame, cut: Layout) -> DataFrame:
+    """Every class with each of its keys: a chunk with ``errors`` of its values left out."""
+    masks = [[i for i in range(cut.per_chunk) if i not in out] for out in combinations(range(cut.per_chunk), cut.errors)]
     keys = []
-    for chunk in range(CHUNKS):
-        for number, kept in enumerate(_MASKS):
+    for chunk in range(cut.chunks):
+        for number, kept in enumerate(masks):
             mask = sum(((1 << BITS) - 1) << (BITS * i) for i in kept)
-            keys.append(F.xxhash64(F.lit(chunk * len(_MASKS) + number), F.col(f"_c{chunk}").bitwiseAND(F.lit(mask))))
+            keys.append(F.xxhash64(F.lit(chunk * len(masks) + number), F.col(f"_c{chunk}").bitwiseAND(F.lit(mask))))
     return classes.filter("n_shingles > 0").withColumn("_key", F.explode(F.array(*keys)))
 
 
@@ -195,20 +235,21 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
         "_rep", F.explode(F.slice("_shared", F.lit(1), F.col("_prefix"))).alias("_s")).select("_rep", "_s._shingle")
 
 
-def _distance(a: str, b: str) -> Column:
+def _distance(a: str, b: str, cut: Layout) -> Column:
     """How many values of two signatures differ."""
     out = F.lit(0)
-    for chunk in range(CHUNKS):
+    for chunk in range(cut.chunks):
         apart = F.col(f"{a}._c{chunk}").bitwiseXOR(F.col(f"{b}._c{chunk}"))
-        for i in range(PER_CHUNK):
+        for i in range(cut.per_chunk):
             out = out + F.when(apart.bitwiseAND(F.lit(((1 << BITS) - 1) << (BITS * i))) == 0, 0).otherwise(1)
     return out
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
     """What signatures and set sizes allow: a distance within the radius, and sizes that can reach the similarity."""
+    cut = layout(percent)
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_distance(a, b) <= RADIUS)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (_distance(a, b, cut) <= cut.radius)
 
 
 def _near_maps(a: str, b: str, percent: int) -> Column:
@@ -234,15 +275,17 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     compared again: a large group of near copies costs its size, not its square. The classes that are still apart from
     others of a bucket are then compared with those that share one of their rarest shingles, as every link does, if the
     signatures are within the radius and a bitmap of their sets, which never rules out a link, allows one. So no
-    link is lost, and neither variants too far apart nor documents that share a passage make pairs.
+    link is lost but by the signatures (``MISS``), and neither variants too far apart nor documents that share a passage make
+    pairs.
     Links are confirmed on the full sets, and neither links nor components pass through the driver.
     """
-    hashed = materialise(_hashed(documents))
+    cut = layout(percent)
+    hashed = materialise(_hashed(documents, cut))
     classes = materialise(
         hashed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "_s1", "_s2").agg(
-            F.min("doc_id").alias("_rep"), *[F.first(f"_c{i}").alias(f"_c{i}") for i in range(CHUNKS)]))
-    columns = ["_rep", "_s1", "_s2", "n_shingles", *[f"_c{i}" for i in range(CHUNKS)]]
-    bucketed = materialise(shared_keys(_keys(classes).select("_key", *columns), "_key", "_rep"))
+            F.min("doc_id").alias("_rep"), *[F.first(f"_c{i}").alias(f"_c{i}") for i in range(cut.chunks)]))
+    columns = ["_rep", "_s1", "_s2", "n_shingles", *[f"_c{i}" for i in range(cut.chunks)]]
+    bucketed = materialise(shared_keys(_keys(classes, cut).select("_key", *columns), "_key", "_rep"))
     sets = materialise(_sets(documents, materialise(bucketed.select("_rep", "_s1", "_s2").distinct())))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
