@@ -5,7 +5,8 @@ pages that have a node, the entropy of its contents and of its presentations (th
 what reads or looks alike on all pages of a site tells nothing and has importance 0, what differs from page to page
 approaches 1. Branches whose importance is low are cut from every page of the host. Menus and adverts may differ from page
 to page and yet belong to no article, so the importance of an element whose tag, role, class or id
-names such a part is 0 as well.
+names such a part is 0 as well. Pages of a host with the same article are copies and count as one page, and an article or
+main element and what lies around it is never cut, whatever its importance.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from prospecta.llm.urlrules import url_parts
 from prospecta.session import materialise
 
-#: A branch is cut below this importance, if so many pages of the host at least have it.
+#: A branch is cut below this importance, if so many different pages of the host at least have it.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.1, 8
 #: Weight of what lies below a node against its own presentations, by number of styles (the attenuating factor).
 GAMMA = 0.9
@@ -173,19 +174,22 @@ def blocks(roots: list[Node]) -> list[str]:
     return out
 
 
-def page_statistics(html: str) -> list[tuple[int, int, int]]:
-    """(path, content, presentation) hashes of a page's nodes, one for each path."""
+def page_statistics(html: str) -> tuple[int, int, list[int], list[int], list[int]]:
+    """Hashes of a page's article and of its html; of its nodes, the paths, contents and presentations, one for each path."""
+    root = Tree(html).root
     found: dict[str, list[Node]] = {}
-    for node, path in style_paths(Tree(html).root):
+    for node, path in style_paths(root):
         found.setdefault(path, []).append(node)
-    out = []
+    paths, contents, presentations = [], [], []
     for path, nodes in found.items():
         content = "\n".join(blocks(nodes))
         looks = "|".join(
             ",".join(child.style for child in node.children if isinstance(child, Node) and child.tag in BLOCKS)
             for node in nodes)
-        out.append((_hash(path), _hash(content), _hash(looks)))
-    return out
+        paths.append(_hash(path))
+        contents.append(_hash(content))
+        presentations.append(_hash(looks))
+    return _hash(article(root, frozenset())), _hash(html), paths, contents, presentations
 
 
 def _hash(text: str) -> int:
@@ -195,11 +199,15 @@ def _hash(text: str) -> int:
 
 def main_text(html: str, cut: frozenset[int]) -> str:
     """The article of a page: its blocks without the branches to cut, joined by an empty line."""
-    root = Tree(html).root
+    return article(Tree(html).root, cut)
+
+
+def article(root: Node, cut: frozenset[int]) -> str:
+    """The same, of a page's elements. An article or main element and what lies around it is not cut."""
     articles, mains = [], []
     if cut or root.main:
         for node, path in list(style_paths(root)):
-            if cut and _hash(path) in cut:
+            if cut and not node.main and _hash(path) in cut:
                 node.named, node.tag = True, "nav"  # a branch of no importance counts as no part of the article
             elif node.tag == "article":
                 articles.append(node)
@@ -220,20 +228,25 @@ def main_text(html: str, cut: frozenset[int]) -> str:
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, cut): per host, the paths whose importance is low. Pages need host and html.
 
+    Pages of a host with the same article are copies, whatever stands around it, and count as one: the one whose html has the
+    smallest hash, so the result does not depend on how rows are dealt. Copies are folded before the shuffle.
+
     With m pages at a path, c(x) of them with content x, the entropy of contents to the base m is
     (log m - sum c log c / m) / log m; likewise for presentations. Sums of that form are folded before the shuffle, so a
     hot host costs its number of different contents, and no task holds a host.
     """
     def statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(host, *row) for host, html in zip(batch["host"], batch["html"], strict=True)
-                    for row in page_statistics(html)]
-            yield pd.DataFrame(rows, columns=["host", "path", "content", "looks"])
+            rows = [(host, *page_statistics(html)) for host, html in zip(batch["host"], batch["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    schema = StructType().add("host", StringType())
+    schema = StructType().add("host", StringType()).add("article", LongType()).add("page", LongType())
     for name in ("path", "content", "looks"):
-        schema = schema.add(name, LongType())
-    nodes = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(statistics, schema)
+        schema = schema.add(name, ArrayType(LongType()))
+    read = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(statistics, schema)
+    different = read.groupBy("host", "article").agg(
+        F.min_by(F.arrays_zip("path", "content", "looks"), "page").alias("nodes"))
+    nodes = different.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
     seen = nodes.select("host", "path", F.explode(F.array(
         F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")),
         F.struct(F.lit("looks").alias("kind"), F.col("looks").alias("value")))).alias("v"))
@@ -260,7 +273,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (its code points).
 
     The article element's blocks (of main or the whole body where there is none), with character references decoded, blanks
-    reduced, without the host's branches of low importance and without menus, headers, footers, sidebars, notices,
+    reduced, without the host's branches of low importance (copies of a page count once) and without menus, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles and comments. A null or empty html, or a page without text, gives an empty text; a null
     url, or one without a host, belongs to the site of the empty host. Equal rows stay. Pages are read whole, whatever
     their length or nesting; truncated or badly nested markup ends with the block around it. An empty table gives an empty

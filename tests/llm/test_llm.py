@@ -81,6 +81,25 @@ def test_low_branches(spark):
     assert {row["text"] for row in sitetree.extract(pages).collect()} == {f"text {i}" for i in range(20)}
 
 
+def test_copies_of_pages(spark):
+    """Copies of a page count once, and an article is never cut."""
+    def page(text, tag="article", around=""):
+        return f"<body><div>same on all</div>{around}<{tag}><p>{text}</p></{tag}></body>"
+
+    rows = [("one", page("copied", around=f"<nav>{i}</nav>" * (i % 2))) for i in range(20)]
+    rows += [("bare", page("copied", "section")) for _ in range(20)]
+    rows += [("most", page("copied" if i < 970 else f"own {i}")) for i in range(1000)]
+    rows += [("nine", page(f"own {i}", "section")) for i in range(9)] + [("nine", page("copied", "section"))] * 500
+    rows += [("two", f"<body><article class='k'>same</article><article><p>own {i}</p></article></body>") for i in range(10)]
+    rows += [("around", f"<body><div class='a'>{i}<main><div>{i}</div></main></div></body>") for i in range(9)]
+    pages = spark.createDataFrame([(i, f"http://{host}/x", html) for i, (host, html) in enumerate(rows)],
+                                  "page_id long, url string, html string").repartition(7)
+    found = {row["page_id"]: row["text"] for row in sitetree.extract(pages).collect()}
+    for i, (host, html) in enumerate(rows):
+        text = sitetree.main_text(html, frozenset())
+        assert found[i] == (text.removeprefix("same on all\n\n") if host == "nine" else text) != "", (host, i)
+
+
 def test_fingerprints():
     a, b = fingerprint.fingerprint("x\ny\nz"), fingerprint.fingerprint("z\nx\n\ny")
     assert (a == b).all() and (fingerprint.deleted(a, "y") == fingerprint.fingerprint("x\nz")).all()
