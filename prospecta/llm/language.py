@@ -21,10 +21,11 @@ from pyspark.sql.window import Window
 from prospecta.llm.common import mixed, utf8
 
 ORDER = 4
-#: The sample of each language: at most so many documents, whole texts of at most so many bytes. Longer texts are not
-#: learned from (they are scored like all others), so the driver holds at most their product per language.
-SAMPLE_DOCUMENTS = 400
-SAMPLE_BYTES = 8_000
+#: The sample: at most so many bytes of each language, and so many of all, shared evenly but for at least ``LEAST_BYTES``.
+LANGUAGE_BYTES, TOTAL_BYTES, LEAST_BYTES = 800_000, 16_000_000, 64
+#: Texts of more bytes are long: windows of so many characters (so of no more bytes) are taken of them.
+SHORT_BYTES = 8_000
+WINDOW = SHORT_BYTES // 4
 MAX_LANGUAGES = 64
 #: Texts are scored in pieces of about so many bytes, which bounds a task's memory.
 PIECE = 1 << 19
@@ -178,22 +179,50 @@ def held_out() -> F.Column:
 
 
 def sample(labelled: DataFrame) -> dict[str, list[str]]:
-    """At most ``SAMPLE_DOCUMENTS`` whole texts per language, drawn by a hash of their ids.
+    """Texts of every language, by a hash of their ids and texts: whole short ones and, where those do not fill the language's
+    share of bytes, windows of long ones. The last one is cut where the share ends.
 
-    Rows are thinned by their hash to about twice the number before they are ranked, so that no task ranks a hot
-    language's rows.
+    Texts are thinned by their hash to somewhat more than the share, and equal rows folded, before they are ranked, so that no
+    task ranks a hot language's rows. A language of which nothing is left by that gives the beginning of one text.
     """
-    short = labelled.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-    counts = short.groupBy("lang").count()
-    if counts.count() > MAX_LANGUAGES:
+    size = F.octet_length("text")
+    texts = labelled.filter(size > 0).select("lang", "text", F.xxhash64("doc_id", "text").alias("_hash"), (size > SHORT_BYTES).alias("_long"))
+    sizes = texts.groupBy("lang").agg(
+        F.sum(F.when(F.col("_long"), 0).otherwise(size)).alias("short"), F.sum(F.when(F.col("_long"), size).otherwise(0)).alias("long")).collect()
+    if not sizes:
+        return {}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thinned = short.join(F.broadcast(counts), "lang").filter(share <= 2.0 * SAMPLE_DOCUMENTS / F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    rows = thinned.withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE_DOCUMENTS).select("lang", "text").collect()
+    budget = min(LANGUAGE_BYTES, max(LEAST_BYTES, TOTAL_BYTES // len(sizes)))
+
+    def limit(wanted: int, there: int) -> float:
+        return (2.0 * wanted + 20 * SHORT_BYTES) / there if wanted > 0 and there else 0.0
+
+    limits = labelled.sparkSession.createDataFrame(
+        [(row["lang"], limit(budget, row["short"]), limit(budget - row["short"], row["long"])) for row in sizes],
+        "lang string, _of_short double, _of_long double")
+
+    def share(value):
+        return F.pmod(value, F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    windows = F.sequence(F.lit(0), F.ceil(F.length("text") / WINDOW).cast("int") - 1)
+    chosen = F.filter(windows, lambda i: share(F.xxhash64("_hash", i)) <= F.col("_of_long"))
+    pieces = F.when(F.col("_long"), F.transform(chosen, lambda i: F.struct(
+        F.xxhash64("_hash", i).alias("_hash"), F.substring(F.col("text"), i * WINDOW + 1, F.lit(WINDOW)).alias("text")))).otherwise(
+        F.filter(F.array(F.struct("_hash", "text")), lambda piece: share(piece["_hash"]) <= F.col("_of_short")))
+    thinned = texts.join(F.broadcast(limits), "lang").select("lang", "_long", F.explode(pieces).alias("piece")).select(
+        "lang", "_long", "piece.*").dropDuplicates(["lang", "_long", "_hash"])
+    order = Window.partitionBy("lang").orderBy("_long", "_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum(size).over(order) - size
+    rows = thinned.withColumn("_before", before).filter(F.col("_before") < budget).select("lang", "text", "_before").collect()
+    missing = {row["lang"] for row in sizes} - {row["lang"] for row in rows}
+    if missing:
+        least = F.min(F.struct("_long", "_hash", F.substring("text", 1, WINDOW).alias("text")))["text"]
+        rows += texts.filter(F.col("lang").isin(*missing)).groupBy("lang").agg(least.alias("text"), F.lit(0).alias("_before")).collect()
     out: dict[str, list[str]] = {}
     for row in rows:
-        out.setdefault(row["lang"], []).append(row["text"])
+        text = row["text"].encode("utf-8", "replace")[: budget - row["_before"]].decode("utf-8", "ignore")
+        out.setdefault(row["lang"], []).append(text)
     return out
 
 

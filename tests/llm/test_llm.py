@@ -64,6 +64,23 @@ def test_language_held_out(spark, folder):
     assert np.mean([row["lang"] == row["lang_pred"] for row in rows]) > 0.95
 
 
+def prose(seed, n):
+    """Words of a language of its own: few letters, in few words."""
+    random = np.random.default_rng(seed)
+    letters = random.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:9]
+    words = ["".join(random.choice(letters, random.integers(3, 9))) for _ in range(60)]
+    return lambda: " ".join(random.choice(words, n))
+
+
+@pytest.mark.parametrize("sizes", [[300, 6000], [6000, 6000]])
+def test_language_of_long_texts(spark, sizes):
+    """Languages are learned from long texts where there are no short ones."""
+    rows = [(100 * i + k, text(), f"l{i}", "a", 1) for i, n in enumerate(sizes) for text in [prose(i, n)] for k in range(12)]
+    assert sum(len(row[1]) > 8_000 for row in rows) == 12 * sizes.count(6000)
+    found = {row["doc_id"]: (row["lang_pred"], row["score"]) for row in language.languages_of_documents(table(spark, rows)).collect()}
+    assert all(found[row[0]][0] == row[2] and found[row[0]][1] > 0.9 for row in rows)
+
+
 @pytest.mark.parametrize("html,text", [
     ("<p>a &amp b &lt;i&gt; c<br>d</p>tail", "a & b <i> c d\n\ntail"),
     ("<article><h1>T</h1><p><b>x<br><p>y</p></article><div class=comment>no</div>", "T\n\nx\n\ny"),
