@@ -26,7 +26,8 @@ LANGUAGE_BYTES, TOTAL_BYTES, LEAST_BYTES = 800_000, 16_000_000, 64
 #: Texts of more bytes are long: windows of so many characters (so of no more bytes) are taken of them.
 SHORT_BYTES = 8_000
 WINDOW = SHORT_BYTES // 4
-MAX_LANGUAGES = 64
+#: So many languages share tables, whose size is the product of their contexts and languages.
+GROUP = 8
 #: Texts are scored in pieces of about so many bytes, which bounds a task's memory.
 PIECE = 1 << 19
 
@@ -39,21 +40,22 @@ class Table:
         self.mask = np.uint64(size - 1)
         self.keys = np.zeros(size, np.uint64)
         self.used = np.zeros(size, bool)
-        self.rows = np.zeros((size, rows.shape[1]), np.float32)
+        self.place = np.zeros(size, np.int32)
+        self.rows = rows
         todo, slot, self.probes = np.arange(len(keys)), mixed(keys) & self.mask, 0
         while len(todo):
             self.probes += 1
             _, first = np.unique(slot[todo], return_index=True)
             first = first[~self.used[slot[todo[first]]]]
             put = todo[first]
-            self.keys[slot[put]], self.rows[slot[put]], self.used[slot[put]] = keys[put], rows[put], True
+            self.keys[slot[put]], self.place[slot[put]], self.used[slot[put]] = keys[put], put, True
             todo = np.delete(todo, first)
             slot[todo] = (slot[todo] + np.uint64(1)) & self.mask
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where it is absent."""
+        """The row of each key, -1 where it is absent."""
         slot = mixed(keys) & self.mask
-        found = np.where(self.used[slot] & (self.keys[slot] == keys), slot.astype(np.int64), -1)
+        found = np.where(self.used[slot] & (self.keys[slot] == keys), self.place[slot], -1)
         todo = np.flatnonzero((found < 0) & self.used[slot])
         for _ in range(self.probes - 1):
             if not len(todo):
@@ -61,7 +63,7 @@ class Table:
             slot[todo] = (slot[todo] + np.uint64(1)) & self.mask
             at = slot[todo]
             hit = self.used[at] & (self.keys[at] == keys[todo])
-            found[todo[hit]] = at[hit]
+            found[todo[hit]] = self.place[at[hit]]
             todo = todo[~hit & self.used[at]]
         return found
 
@@ -87,8 +89,8 @@ def padded(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, own
 
 
-class Model:
-    """Code lengths of the union of all languages' contexts, so that one lookup serves all languages.
+class Group:
+    """Code lengths of the union of some languages' contexts, so that one lookup serves all of them.
 
     ``costs[k]`` has a row for each k-byte context with its next byte that any language saw: the full PPM code
     length by language, escapes included. ``escapes[k]`` has a row for each context: what a byte that no language saw there
@@ -174,6 +176,19 @@ class Model:
         return total
 
 
+class Model:
+    """Any number of languages by name, in groups. A language's code lengths do not depend on the others of its group."""
+
+    def __init__(self, samples: dict[str, list[str]]):
+        self.languages = sorted(samples)
+        self.groups = [Group({language: samples[language] for language in self.languages[at: at + GROUP]})
+                       for at in range(0, len(self.languages), GROUP)]
+
+    def score(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Bits of every text by language."""
+        return np.concatenate([group.score(data, places) for group in self.groups], axis=1)
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -191,8 +206,6 @@ def sample(labelled: DataFrame) -> dict[str, list[str]]:
         F.sum(F.when(F.col("_long"), 0).otherwise(size)).alias("short"), F.sum(F.when(F.col("_long"), size).otherwise(0)).alias("long")).collect()
     if not sizes:
         return {}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     budget = min(LANGUAGE_BYTES, max(LEAST_BYTES, TOTAL_BYTES // len(sizes)))
 
     def limit(wanted: int, there: int) -> float:

@@ -81,6 +81,19 @@ def test_language_of_long_texts(spark, sizes):
     assert all(found[row[0]][0] == row[2] and found[row[0]][1] > 0.9 for row in rows)
 
 
+def test_many_languages(spark):
+    """More languages than share tables, some of a single text many times; the sample keeps to its bytes."""
+    rows = [(100 * i + k, text(), f"l{i:02}", "a", 1) for i in range(70) for text in [prose(i, 200)] for k in range(6)]
+    strays = [(9002, "zz qq " * 100, "stray", "a", 1), (9004, "yy xx " * 100, "stray2", "a", 1), (9005, "ww vv " * 100, "stray3", "a", 1)]
+    rows += strays * 3000  # ids that are not held out
+    documents = table(spark, rows)
+    samples = language.sample(documents)
+    budget = min(language.LANGUAGE_BYTES, language.TOTAL_BYTES // 73)
+    assert len(samples) == 73 and all(0 < sum(len(text.encode()) for text in own) <= budget for own in samples.values())
+    found = {row["doc_id"]: row["lang_pred"] for row in language.languages_of_documents(documents).collect()}
+    assert all(found[row[0]] == row[2] for row in rows)
+
+
 @pytest.mark.parametrize("html,text", [
     ("<p>a &amp b &lt;i&gt; c<br>d</p>tail", "a & b <i> c d\n\ntail"),
     ("<article><h1>T</h1><p><b>x<br><p>y</p></article><div class=comment>no</div>", "T\n\nx\n\ny"),
