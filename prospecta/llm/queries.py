@@ -8,6 +8,7 @@ from prospecta.llm import (
     lines,
     minhash,
     mixing,
+    negatives,
     oracles,
     packing,
     sharding,
@@ -33,6 +34,7 @@ def all_queries() -> dict:
         "op8_embedding_near_dedup": _over("embeddings", vectors.near_vectors),
         "op9_packing": _over("documents", packing.pack),
         "op10_url_filters": _over("pages", urlrules.judge),
+        "op11_hard_negatives": _over("embeddings", negatives.hard_negatives),
     }
 
 
@@ -43,4 +45,5 @@ def all_sql() -> dict:
         "op6_mixing": oracles.MIX,
         "op8_embedding_near_dedup": oracles.COSINES,
         "op10_url_filters": oracles.URLS,
+        "op11_hard_negatives": oracles.NEGATIVES,
     }
