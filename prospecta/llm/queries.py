@@ -15,6 +15,7 @@ from prospecta.llm import (
     sitetree,
     urlrules,
     vectors,
+    whitening,
 )
 
 
@@ -35,6 +36,7 @@ def all_queries() -> dict:
         "op9_packing": _over("documents", packing.pack),
         "op10_url_filters": _over("pages", urlrules.judge),
         "op11_hard_negatives": _over("embeddings", negatives.hard_negatives),
+        "op13_whitening": _over("embeddings", whitening.whitened),
     }
 
 
