@@ -11,6 +11,7 @@ from prospecta.llm import (
     negatives,
     oracles,
     packing,
+    pii,
     sharding,
     sitetree,
     urlrules,
@@ -36,6 +37,7 @@ def all_queries() -> dict:
         "op9_packing": _over("documents", packing.pack),
         "op10_url_filters": _over("pages", urlrules.judge),
         "op11_hard_negatives": _over("embeddings", negatives.hard_negatives),
+        "op12_pii": _over("documents", pii.private_spans),
         "op13_whitening": _over("embeddings", whitening.whitened),
     }
 
