@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prospecta.learn import evaluate, importance, resample, split, train
 from prospecta.learn.features import balanced_weight, positive_weight
+from prospecta.learn import neighbours
 from prospecta.learn.neighbours import leaf_of, nearest_neighbours, split_tree
 
 
@@ -103,6 +104,27 @@ def test_neighbours_against_brute_force(spark, leaf_rows, piece_rows):
     assert np.allclose(found["distance"].to_numpy().reshape(-1, 5), expected, atol=1e-7)
 
 
+@pytest.mark.parametrize("widths, crowd, empty, few", [((4, 3, 2), 3, False, 0), ((4, 3, 2), 0, True, 0), ((6, 6, 6), 0, False, 500)])
+def test_neighbours_by_category_tuples(spark, monkeypatch, widths, crowd, empty, few):
+    """A tuple that holds a third of the points, rows without a category, and the scan for the last few."""
+    monkeypatch.setattr(neighbours, "FEW", few)
+    rng = np.random.default_rng(6)
+    slots = [np.eye(width)[rng.integers(0, width, 500)] for width in widths]
+    if crowd:
+        for block in slots:
+            block[: 500 // crowd] = block[0]
+    if empty:
+        slots[0][::7] = 0
+    points = np.unique(np.hstack([rng.normal(size=(500, 3)).round(2), *slots]), axis=0)
+    df = spark.createDataFrame([(i, [float(v) for v in p], 1) for i, p in enumerate(points)], "point long, vec array<double>, copies long")
+    asking = df.filter("point % 3 = 0")
+    found = nearest_neighbours(df, 5, 40, 15, list(widths), asking.select("point")).toPandas().sort_values(["point", "rank"])
+    squares = ((points[:, None, :] - points[None]) ** 2).sum(-1)
+    np.fill_diagonal(squares, np.inf)
+    expected = np.sqrt(np.sort(squares, axis=1)[::3, :5])
+    assert np.allclose(found["distance"].to_numpy().reshape(-1, 5), expected, atol=1e-9)
+
+
 def prepared(spark, minority, majority):
     rows = [(f"k{i:04d}", 1, [float(v) for v in p]) for i, p in enumerate(minority)]
     rows += [(f"m{i:04d}", 0, [100.0] * len(minority[0])) for i in range(majority)]
