@@ -26,8 +26,8 @@ from prospecta.session import materialise
 
 CAPACITY = 1024
 END = 2
-#: A task's table of words and their ids is emptied at this size, which bounds its memory.
-CACHED_WORDS = 200_000
+#: A task's table of words and their ids holds at most so many in each of two halves, which bounds its memory.
+CACHED_WORDS = 100_000
 
 
 MARKS = frozenset(".,;:!?)")
@@ -38,11 +38,15 @@ class Spaced(dict):
 
     def __init__(self, words: Words):
         super().__init__()
-        self.words = words
+        self.words, self.older = words, {}
 
     def __missing__(self, part: str) -> bytes | None:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= CACHED_WORDS:  # a full half takes the place of the older one; words still in use come back from it
+            self.older = dict(self)
             self.clear()
+        if part in self.older:
+            self[part] = ids = self.older[part]
+            return ids
         if part.isalpha():  # one word; the usual case, and the next with a mark after it, need no cutting
             ids = self.words.merged(" " + part)
         elif part[-1:] in MARKS and part[:-1].isalpha():
