@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from prospecta import schemas as S
 
+#: Ranges of ids that one histogram has, at most so many rows in the driver.
+RANGES = 4096
+
 
 def normalise(logs: DataFrame) -> DataFrame:
     """Fill response time, level, message, service and event where the sender left them out."""
@@ -119,7 +122,34 @@ def latest_logs(
 
 
 def retain(logs: DataFrame, keep: int = S.LOG_RETENTION_DEFAULT) -> DataFrame:
-    """The newest ``keep`` rows: the oldest id kept is found by a top-k, the rest is one filter."""
+    """The newest ``keep`` rows.
+
+    Up to ``S.LOG_PAGE_MAX`` times ten rows, the oldest id kept comes from a top-k. Beyond, one task would hold them all; there
+    a histogram of id ranges tells in which range the cutoff lies, and only that range is ranked.
+    """
     keep = max(S.LOG_RETENTION_MIN, keep)
-    cutoff = logs.select("log_id").orderBy(F.col("log_id").desc()).limit(keep).agg(F.min("log_id"))
-    return logs.filter(F.col("log_id") >= cutoff.scalar())
+    if keep <= 10 * S.LOG_PAGE_MAX:
+        cutoff = logs.select("log_id").orderBy(F.col("log_id").desc()).limit(keep).agg(F.min("log_id"))
+        return logs.filter(F.col("log_id") >= cutoff.scalar())
+    ends = logs.agg(F.min("log_id"), F.max("log_id")).first()
+    if ends[0] is None:
+        return logs
+    low, high, wanted = ends[0], ends[1], keep
+    while True:
+        # Narrow the range that holds the cutoff; ids may be uneven, so the histogram is repeated until few are left.
+        width = max(1, -(-(high - low + 1) // RANGES))
+        inside = logs.filter(F.col("log_id").between(low, high))
+        ranges = sorted(
+            (row["range"], row["n"]) for row in inside.groupBy(
+                F.expr(f"(log_id - {low}L) div {width}L").alias("range")).agg(F.count("*").alias("n")).collect())
+        found = None
+        for number, rows in reversed(ranges):
+            if wanted <= rows:
+                found = number
+                break
+            wanted -= rows
+        if found is None:  # fewer rows than are kept
+            return logs
+        low, high = low + found * width, min(high, low + (found + 1) * width - 1)
+        if width == 1:
+            return logs.filter(F.col("log_id") >= low)

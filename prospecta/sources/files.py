@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import sys
+from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import unquote
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospecta import schemas as S
 
+# Tasks get the helpers of this module with the function, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Paths of stores that a task can open by itself.
+DIRECT = r"\A(file|s3|s3a|s3n|gs|hdfs|abfs|abfss):"
+#: Bytes read at a time for a header, and for a digest; files beyond the last are streamed.
+HEADER_BYTES, CHUNK_BYTES, WHOLE_BYTES = 4096, 8 << 20, 256 << 20
+
 # Spark's writer strips white space from values unless told not to.
 _KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -19,12 +35,43 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.RAW_TRAINING).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def _file_list(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of every file; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A stream of the file's bytes, in a task."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), compression=None)
+    system, place = fs.FileSystem.from_uri(re.sub(r"\As3[an]:", "s3:", path))
+    return system.open_input_stream(place, compression=None)
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        headers = []
+        for path in batch["path"]:
+            line = b""
+            with _opened(path) as stream:
+                while b"\n" not in line and (part := stream.read(HEADER_BYTES)):
+                    line += part
+            headers.append(line.partition(b"\n")[0].decode("utf-8", "replace").rstrip("\r"))
+        yield pd.DataFrame({"file": batch["path"], "header": headers})
+
+
 def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """The files of a folder, those with the same header line together; folded to one row per file by the tasks."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), "value")
-    headers = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    """The files of a folder, those with the same header line together. Tasks open each file and read its first line alone;
+    in a store that only Spark opens, its lines are read instead."""
+    listed = _file_list(spark, path)
+    if listed.filter(~F.col("path").rlike(DIRECT)).isEmpty():
+        headers = listed.mapInPandas(_first_lines, "file string, header string")
+    else:
+        lines = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"), "value")
+        headers = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
     groups: dict[str, list[str]] = {}
     for row in headers.orderBy("file").toLocalIterator():  # as many as the files that the driver lists anyway
         groups.setdefault(row["header"], []).append(unquote(row["file"]))
@@ -74,11 +121,31 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").options(**_KEEP_BLANKS).option("header", True).csv(path)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of the bytes of every file, computed by the tasks that read them."""
+def _streamed_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while part := stream.read(CHUNK_BYTES):
+                    digest.update(part)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"source_file": batch["path"], "file_hash": digests})
+
+
+def file_hashes(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """SHA-256 of the bytes of every file, computed by the tasks that read them.
+
+    Files of at most ``whole_bytes`` are read as one value. A larger one is streamed through the digest in chunks, so
+    its size has no limit; its store must be one that tasks can open (``DIRECT``). Empty files are not listed.
+    """
     content = spark.read.format("binaryFile").load(path)
-    return content.select(
-        F.col("path").alias("source_file"),
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.sha2("content", 256).alias("file_hash"),
-    )
+    small = content.filter(F.col("length") <= whole_bytes).select(
+        F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"))
+    large = _file_list(spark, path).filter(F.col("length") > whole_bytes)
+    if not large.isEmpty():
+        # One file is one task's work; the files of a folder are dealt to all tasks.
+        dealt = large.repartition(spark.sparkContext.defaultParallelism, "path")
+        small = small.union(dealt.mapInPandas(_streamed_hashes, "source_file string, file_hash string"))
+    return small.withColumn("file_name", F.element_at(F.split("source_file", "/"), -1)).select(
+        "source_file", "file_name", "file_hash")

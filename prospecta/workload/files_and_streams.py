@@ -40,8 +40,11 @@ def _(spark, folder):
 SELECT {UPLOAD_SQL.replace('"phone_number"', f"nullif(trim(phone_number, {BLANKS_SQL}), '') AS phone_number")}, TRUE AS has_source FROM fx_upload""")
 def _(spark, folder):
     path = scratch_path(spark, "upload")
-    files.write_csv(load(spark, folder, "fx_upload").select(*[f"`{c}`" for c in S.UPLOAD_FIELDS]), path)
-    rows = files.read_upload_csv(spark, path)
+    rows = load(spark, folder, "fx_upload")
+    # Two kinds of files: the columns in order, and in reverse.
+    for half, names in enumerate((S.UPLOAD_FIELDS, S.UPLOAD_FIELDS[::-1])):
+        files.write_csv(rows.filter(F.col("position") % 2 == half).select(*[f"`{c}`" for c in names]), f"{path}/{half}")
+    rows = files.read_upload_csv(spark, f"{path}/*")
     files.check_upload_header(rows)
     phone = F.trim("phone_number")
     return rows.withColumn("has_source", F.col("source_file").endswith(".csv")).drop("source_file").withColumn(
@@ -73,20 +76,35 @@ def _(spark, folder):
     return logs.stored_logs(files.read_log_json(spark, path))
 
 
-@add("registered_files", None)
+# Hashes and sizes of the files, recomputed by the reader from the lines that the files hold.
+FILE_SQL = cte("fx_batch_uploads", files="""
+SELECT n_regionkey AS region, sha256(string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey)) AS file_hash,
+    CAST(count(*) AS INT) AS total_records FROM nation GROUP BY 1""", fresh="""
+SELECT file_hash, total_records, row_number() OVER (ORDER BY file_hash) AS place FROM files
+WHERE file_hash NOT IN (SELECT file_hash FROM fx_batch_uploads)""") + """
+SELECT batch_id, total_records, file_hash, status FROM fx_batch_uploads UNION ALL
+SELECT (SELECT max(batch_id) FROM fx_batch_uploads) + place, total_records, file_hash, 'pending' FROM fresh"""
+
+
+@add("registered_files", FILE_SQL)
 def _(spark, folder):
-    """Every part of an exported table as an uploaded file; parts with equal bytes register once."""
+    """A file per region, hashed as a whole and once more under another name by streaming; equal bytes register once."""
     path = scratch_path(spark, "uploads")
-    rows = load(spark, folder, "fx_upload").select(*[f"`{c}`" for c in S.UPLOAD_FIELDS]).repartitionByRange(8, "phone_number")
-    files.write_csv(rows, path)
-    found = files.file_hashes(spark, f"{path}/*.csv")
-    sizes = files.read_upload_csv(spark, path).groupBy(
-        F.element_at(F.split("source_file", "/"), -1).alias("file_name")).agg(F.count("*").cast("int").alias("total_records"))
-    # Part names are random; the order of the contents is not.
-    incoming = found.join(sizes, "file_name").withColumn(
+    lines = load(spark, folder, "nation").select(
+        F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"), "n_regionkey", "n_nationkey")
+    for copy in ("a", "b"):
+        lines.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey").select(
+            "value", "n_regionkey").write.partitionBy("n_regionkey").text(f"{path}/{copy}")
+    found = files.file_hashes(spark, f"{path}/a/*/*.txt").union(files.file_hashes(spark, f"{path}/b/*/*.txt", whole_bytes=0))
+    sizes = spark.read.text(f"{path}/*/*/*.txt").groupBy(F.col("_metadata.file_path").alias("source_file")).agg(
+        F.count("*").cast("int").alias("total_records"))
+    plain = F.regexp_replace("source_file", "^file:/+", "/")
+    # Part names are random; the order of the hashes is not.
+    incoming = found.withColumn("plain", plain).join(
+        sizes.select(plain.alias("plain"), "total_records"), "plain").withColumn(
         "position", F.conv(F.substring("file_hash", 1, 15), 16, 10).cast("long"))
     known = maintain.insert_defaults(load(spark, folder, "fx_batch_uploads"), "batch_uploads", CLOCK)
-    return maintain.register_batches(known, incoming, CLOCK).drop("created_at", "uploaded_at", "file_hash", "file_name")
+    return maintain.register_batches(known, incoming, CLOCK).drop("created_at", "uploaded_at", "file_name")
 
 
 # --- Tables ---------------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -7,6 +8,7 @@ from prospecta import schemas as S
 from prospecta.operators import campaign, logs, maintain, quality
 from prospecta.operators.ranking import running_totals, with_positions
 from prospecta.plans.batch_scoring import CampaignTables, require_scored, score_uploads
+from prospecta.sources import files
 
 NOW = datetime(2024, 6, 1)
 LATER = datetime(2024, 6, 2)
@@ -214,3 +216,37 @@ def test_missing_scores_abandon_the_batch(spark):
         require_scored(rows)
     with pytest.raises(ValueError):
         score_uploads(tables(spark), upload(spark, "90000001").drop("poutcome"), score, LATER)
+
+
+@pytest.mark.parametrize("step", [1, 7, 10**9])
+def test_large_retention_takes_no_top_k(spark, step):
+    """Beyond the limit of the top-k the cutoff comes from histograms of id ranges, however uneven the ids are."""
+    rows = spark.range(30_000).select((F.col("id") * F.when(F.col("id") % 2 == 0, step).otherwise(1) + F.col("id")).alias("log_id")).distinct()
+    ids = sorted((row["log_id"] for row in rows.collect()), reverse=True)
+    for keep in (10_001, 20_000, 29_999, 10**7):
+        kept = logs.retain(rows, keep)
+        assert sorted((row["log_id"] for row in kept.collect()), reverse=True) == ids[:keep]
+        assert "TakeOrdered" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert logs.retain(rows.limit(0), 20_000).count() == 0
+
+
+def test_hashes_of_files_of_any_size(spark, tmp_path, monkeypatch):
+    """A file above the limit is streamed in chunks and gets the digest of its bytes; Spark lists no empty files."""
+    contents = {"a.csv": b"x" * 100, "b c.csv": bytes(range(256)) * 50_000, "e.csv": b"x" * 100}
+    (tmp_path / "empty.csv").write_bytes(b"")
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(files, "CHUNK_BYTES", 1000)
+    for whole in (0, 1000, files.WHOLE_BYTES):
+        found = {row["file_name"]: row["file_hash"] for row in files.file_hashes(spark, str(tmp_path), whole).collect()}
+        assert found == {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+
+
+def test_headers_are_read_from_first_lines_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("b,a\n" + "1,2\n" * 2000)
+    (tmp_path / "b.csv").write_bytes(b"a,b\r\n3,4\r\n")
+    (tmp_path / "c.csv").write_text("x" * 9000 + ",a")
+    groups = files._files_by_header(spark, str(tmp_path))
+    assert sorted(len(group) for group in groups) == [1, 1, 1]
+    rows = files.read_upload_csv(spark, f"{tmp_path}/[ab].csv").groupBy("a", "b").count().collect()
+    assert sorted(tuple(row) for row in rows) == [("2", "1", 2000), ("3", "4", 1)]
