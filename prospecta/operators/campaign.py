@@ -45,27 +45,37 @@ def predictions_per_batch(customers: DataFrame, predictions: DataFrame) -> DataF
     )
 
 
-def batch_status(
-    batches: DataFrame, customers: DataFrame, predictions: DataFrame, distinct_customers: bool = False
-) -> DataFrame:
-    """``batches`` with recomputed status.
-
-    A batch is completed once it has as many predictions as records, processing once it has
-    customers. Re-scored customers count each time unless ``distinct_customers`` is set.
-    """
+def batch_counts(customers: DataFrame, predictions: DataFrame, distinct_customers: bool = False) -> DataFrame:
+    """(batch_id, customers, predictions) of every batch that has customers."""
     per_customer = predictions.groupBy("customer_id").agg(F.count("*").alias("n"))
     scored = F.count("n") if distinct_customers else F.sum("n")
-    per_batch = (
+    return (
         customers.filter(F.col("batch_id").isNotNull()).select("customer_id", "batch_id")
         .join(per_customer, "customer_id", "left")
-        .groupBy("batch_id").agg(F.coalesce(scored, F.lit(0)).alias("_scored"), F.lit(True).alias("_any"))
+        .groupBy("batch_id").agg(F.count("*").alias("customers"), F.coalesce(scored, F.lit(0)).alias("predictions"))
     )
+
+
+def status_of_counts(batches: DataFrame, counts: DataFrame) -> DataFrame:
+    """``batches`` with the status that their counts give."""
+    counts = counts.select("batch_id", F.col("customers").alias("_customers"), F.col("predictions").alias("_scored"))
     status = (
         F.when((F.coalesce("_scored", F.lit(0)) >= F.col("total_records")) & (F.col("total_records") > 0), "completed")
-        .when(F.col("_any"), "processing")
+        .when(F.col("_customers") > 0, "processing")
         .otherwise("pending")
     )
-    return batches.join(per_batch, "batch_id", "left").withColumn("status", status).drop("_scored", "_any")
+    return batches.join(counts, "batch_id", "left").withColumn("status", status).drop("_scored", "_customers")
+
+
+def batch_status(
+    batches: DataFrame, customers: DataFrame, predictions: DataFrame, distinct_customers: bool = False
+) -> DataFrame:
+    """``batches`` with recomputed status.
+
+    A batch is completed once it has as many predictions as records, processing once it has
+    customers. Re-scored customers count each time unless ``distinct_customers`` is set.
+    """
+    return status_of_counts(batches, batch_counts(customers, predictions, distinct_customers))
 
 
 def known_customers(rows: DataFrame, customers: DataFrame) -> tuple[DataFrame, DataFrame]:

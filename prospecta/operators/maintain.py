@@ -23,9 +23,13 @@ def next_id(df: DataFrame, key: str) -> Column:
     return df.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
 
 
-def upsert_customers(customers: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
+def upsert_customers(
+    customers: DataFrame, incoming: DataFrame, now: datetime, high: int | None = None
+) -> DataFrame:
     """Insert new phone numbers, update given fields of known ones.
 
+    ``high`` is the largest customer_id there is, where ``customers`` are not all of them (the touched buckets).
+
     ``incoming`` carries ``position``, its input order: the last given value of a field wins, while
     the batch of the first row stays. Rows of one phone number are folded by an aggregate, so a
     number that repeats without end is reduced before the shuffle.
@@ -52,7 +56,7 @@ def upsert_customers(customers: DataFrame, incoming: DataFrame, now: datetime) -
     ).drop("_new_batch_id", "_first")
     fresh = merged.filter(F.col("customer_id").isNull())
     inserted = with_positions(fresh, [F.col("_first"), F.col("phone_number")], "_place").select(
-        (F.col("_place") + next_id(updated, "customer_id")).alias("customer_id"),
+        (F.col("_place") + (next_id(updated, "customer_id") if high is None else F.lit(high))).alias("customer_id"),
         "phone_number", F.col("_new_batch_id").alias("batch_id"), *[f"`{name}`" for name in S.CUSTOMER_FIELDS],
         F.lit("PENDING").alias("prediction_status"), clock.alias("created_at"), clock.alias("updated_at"),
     )

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospecta import schemas as S
@@ -24,12 +24,46 @@ from prospecta.sources.files import check_upload_header
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+IDS = {"batches": "batch_id", "customers": "customer_id", "campaigns": "campaign_id", "predictions": "prediction_id"}
+
+
+@dataclass
+class Marks:
+    """What a batch has to know of the history without reading it: the largest id of each table, and the numbers of customers
+    and predictions of each batch. Every scored batch gives the marks for the next."""
+
+    highs: dict[str, int]
+    counts: DataFrame
+
+    @classmethod
+    def of(cls, tables: CampaignTables) -> Marks:
+        """From the whole tables, once."""
+        highs = {name: getattr(tables, name).agg(F.coalesce(F.max(key), F.lit(0))).first()[0] for name, key in IDS.items()}
+        return cls(highs, materialise(campaign.batch_counts(tables.customers, tables.predictions)))
+
+    def after(self, batches: DataFrame, customers: DataFrame, campaigns: DataFrame, predictions: DataFrame) -> Marks:
+        """The marks once the given rows are stored: touched ``customers``, and new rows of the other tables."""
+        homes = customers.filter(F.col("batch_id").isNotNull()).select("customer_id", "batch_id")
+        new = homes.filter(F.col("customer_id") > self.highs["customers"]).select(
+            "batch_id", F.lit(1).alias("customers"), F.lit(0).alias("predictions"))
+        scored = predictions.select("customer_id").join(homes, "customer_id").select(
+            "batch_id", F.lit(0).alias("customers"), F.lit(1).alias("predictions"))
+        counts = materialise(self.counts.unionByName(new).unionByName(scored).groupBy("batch_id").agg(
+            F.sum("customers").alias("customers"), F.sum("predictions").alias("predictions")))
+        rows = {"batches": batches, "customers": customers, "campaigns": campaigns, "predictions": predictions}
+        tops = {name: df.agg(F.max(IDS[name])).first()[0] or 0 for name, df in rows.items()}
+        return Marks({name: max(high, tops[name]) for name, high in self.highs.items()}, counts)
+
+
 @dataclass
 class CampaignTables:
+    """``marks`` come from the batch before; with them no history is read, and ``customers`` may be the touched buckets alone."""
+
     batches: DataFrame
     customers: DataFrame
     campaigns: DataFrame
     predictions: DataFrame
+    marks: Marks | None = None
 
 
 @dataclass
@@ -107,23 +141,32 @@ def score_uploads(
             raise ValueError(f"upload rejected: {broken} invalid rows")
 
     # Written once: every table below sees the same customer numbers and the same scores.
-    upserted = materialise(maintain.upsert_customers(tables.customers, valid, now))
+    marks = tables.marks
+    upserted = materialise(maintain.upsert_customers(
+        tables.customers, valid, now, None if marks is None else marks.highs["customers"]))
     scored = with_decision(scorer(valid), threshold, model_version)
     results = materialise(scored.join(upserted.select("customer_id", "phone_number"), "phone_number"))
     require_scored(results)
 
+    def high(name: str) -> Column:
+        return maintain.next_id(getattr(tables, name), IDS[name]) if marks is None else F.lit(marks.highs[name])
+
     new_campaigns = results.select(
-        (F.col("position") + maintain.next_id(tables.campaigns, "campaign_id")).alias("campaign_id"), "customer_id",
+        (F.col("position") + high("campaigns")).alias("campaign_id"), "customer_id",
         *S.CAMPAIGN_FIELDS, F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )
     new_predictions = results.select(
-        (F.col("position") + maintain.next_id(tables.predictions, "prediction_id")).alias("prediction_id"), "customer_id",
+        (F.col("position") + high("predictions")).alias("prediction_id"), "customer_id",
         "prediction", "probability", "model_version", F.lit(now).alias("predicted_at"),
     )
     campaigns = tables.campaigns.unionByName(new_campaigns, allowMissingColumns=True)
     predictions = tables.predictions.unionByName(new_predictions, allowMissingColumns=True)
     # Earlier rows already carry their status, so only the new predictions can change it.
     customers = maintain.completed_status(upserted, new_predictions)
-    batches = campaign.batch_status(batches, customers, predictions)
-    states = CampaignTables(batches, customers, campaigns, predictions)
+    if marks is None:
+        batches = campaign.batch_status(batches, customers, predictions)
+    else:
+        marks = marks.after(batches, upserted, new_campaigns, new_predictions)
+        batches = campaign.status_of_counts(batches, marks.counts)
+    states = CampaignTables(batches, customers, campaigns, predictions, marks)
     return BatchOutcome(states, results, quarantine, new_campaigns, new_predictions)

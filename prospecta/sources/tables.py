@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,3 +70,34 @@ class TableStore:
     def compact(self, table: str) -> None:
         """Rewrite a table as one folder, after many small additions."""
         self.commit(replace={table: self.read(table)})
+
+
+class Buckets:
+    """A table as Parquet partitions by the hash of a key; an update reads and rewrites only the buckets that it touches.
+
+    The number of buckets is that of the first write; choose it so that one is a comfortable task. Spark's dynamic partition
+    overwrite replaces the files of the written buckets and leaves the others as they are.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, count: int = 256) -> None:
+        self.spark, self.path, self.schema, self.key, self.count = spark, path, schema, key, count
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.count)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Buckets of the rows' keys, at most as many as there are."""
+        return sorted(row["bucket"] for row in rows.select(self._bucket().alias("bucket")).distinct().collect())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets, whose folders alone are listed as partitions to read."""
+        try:
+            stored = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.schema)
+        return (stored if buckets is None else stored.filter(F.col("bucket").isin(buckets))).drop("bucket")
+
+    def replace(self, rows: DataFrame) -> None:
+        """Writes the new state of every bucket that ``rows`` has. ``rows`` must not be read from these files any more."""
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)

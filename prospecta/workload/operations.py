@@ -307,6 +307,8 @@ def _flow(spark, folder):
         predictions=flagged(spark, folder).drop("subscribed", "priority"),
     )
 
+    tables.marks = batch_scoring.Marks.of(tables)
+
     def fixed_score(df):
         score = (F.col("position") * 7919 + 13) % 10001
         return df.withColumn("probability", score.cast("double") / F.lit(10000.0))
