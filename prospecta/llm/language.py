@@ -258,25 +258,27 @@ def identify(documents: DataFrame, model: Model | None = None, keep: list[str] |
     keep = keep or ["doc_id"]
     known = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
+    place = keep.index("text") if "text" in keep else len(keep)  # the text crosses to the task once
+
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for batch in batches:
             scored = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             languages, scores = np.full(len(scored), "und", object), np.zeros(len(scored))
             if model is not None and len(scored):
-                bits = model.score(*utf8(batch.column(batch.num_columns - 2)))
+                bits = model.score(*utf8(batch.column(place)))
                 best = bits.argmin(axis=1)
                 odds = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 languages = np.where(scored, np.array(model.languages, object)[best], "und")
                 scores = np.where(scored, 1 / odds, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names[:-2], "__lang_pred", "__lang_score"])
+                [*batch.columns[:len(keep)], pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
+                names=[*batch.schema.names[:len(keep)], "__lang_pred", "__lang_score"])
 
-    slim = documents.select(
-        *[F.col(f"`{name}`") for name in keep], F.coalesce("text", F.lit("")).alias("__text"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    schema = slim.select(*slim.columns[:-2]).schema.add("__lang_pred", StringType()).add("__lang_score", DoubleType())
+    kept = [F.col(f"`{name}`") for name in keep]
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    slim = documents.select(*kept, *([] if "text" in keep else [F.col("text").alias("__text")]), letters)
+    schema = documents.select(*kept).schema.add("__lang_pred", StringType()).add("__lang_score", DoubleType())
     return slim.mapInArrow(predicted, schema)
 
 
