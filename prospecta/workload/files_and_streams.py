@@ -77,9 +77,9 @@ def _(spark, folder):
 
 
 # Hashes and sizes of the files, recomputed by the reader from the lines that the files hold.
-FILE_SQL = cte("fx_batch_uploads", files="""
-SELECT n_regionkey AS region, sha256(string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey)) AS file_hash,
-    CAST(count(*) AS INT) AS total_records FROM nation GROUP BY 1""", fresh="""
+FILE_SQL = cte("fx_batch_uploads", "fx_upload", files="""
+SELECT position % 8 AS part, sha256(string_agg(position || ',' || coalesce(phone_number, '') || chr(10), '' ORDER BY position)) AS file_hash,
+    CAST(count(*) AS INT) AS total_records FROM fx_upload GROUP BY 1""", fresh="""
 SELECT file_hash, total_records, row_number() OVER (ORDER BY file_hash) AS place FROM files
 WHERE file_hash NOT IN (SELECT file_hash FROM fx_batch_uploads)""") + """
 SELECT batch_id, total_records, file_hash, status FROM fx_batch_uploads UNION ALL
@@ -88,13 +88,14 @@ SELECT (SELECT max(batch_id) FROM fx_batch_uploads) + place, total_records, file
 
 @add("registered_files", FILE_SQL)
 def _(spark, folder):
-    """A file per region, hashed as a whole and once more under another name by streaming; equal bytes register once."""
+    """The upload in eight files, hashed as a whole and once more under other names by streaming; equal bytes register once."""
     path = scratch_path(spark, "uploads")
-    lines = load(spark, folder, "nation").select(
-        F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"), "n_regionkey", "n_nationkey")
+    lines = load(spark, folder, "fx_upload").select(
+        F.concat(F.col("position").cast("string"), F.lit(","), F.coalesce("phone_number", F.lit(""))).alias("value"),
+        (F.col("position") % 8).alias("part"), "position")
     for copy in ("a", "b"):
-        lines.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey").select(
-            "value", "n_regionkey").write.partitionBy("n_regionkey").text(f"{path}/{copy}")
+        lines.repartition("part").sortWithinPartitions("part", "position").select(
+            "value", "part").write.partitionBy("part").text(f"{path}/{copy}")
     found = files.file_hashes(spark, f"{path}/a/*/*.txt").union(files.file_hashes(spark, f"{path}/b/*/*.txt", whole_bytes=0))
     sizes = spark.read.text(f"{path}/*/*/*.txt").groupBy(F.col("_metadata.file_path").alias("source_file")).agg(
         F.count("*").cast("int").alias("total_records"))
