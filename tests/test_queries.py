@@ -36,12 +36,6 @@ def test_scored_test_rows(spark, folder):
     assert all((row["subscription"] == "Yes") == (row["prediction"] == 1) for row in rows)
 
 
-def test_compared_families(spark, folder):
-    rows = QUERIES["compared_families"](spark, folder).collect()
-    assert len(rows) == 4
-    assert all(row["ranks_well"] and row["metrics_fit"] for row in rows)  # an AUC of 0.75 or more
-
-
 def test_permutation_importance(spark, folder):
     rows = QUERIES["permutation_importance"](spark, folder).collect()
     assert {row["feature"] for row in rows} == set(FEATURES)
