@@ -1,13 +1,13 @@
 from prospecta.learn.score import ScoringModel
+from prospecta.learn.train import FAMILIES
 from prospecta.plans import training
 from prospecta.workload.fixtures import load
-from prospecta.workload.models import SMALL
 
 
 def test_train_save_load_report(spark, folder, tmp_path):
     raw = load(spark, folder, "fx_raw_bank")
     done = training.train_and_save(
-        raw, str(tmp_path / "model"), str(tmp_path / "reports"), families=SMALL[:1], draws=1, choose_by="roc_auc")
+        raw, str(tmp_path / "model"), str(tmp_path / "reports"), families=FAMILIES[:1], draws=1, trees=10, choose_by="roc_auc")
     assert done.best_name == "Random Forest" and 0.3 <= done.best.threshold <= 0.8
 
     model = ScoringModel.load(spark, str(tmp_path / "model"))
