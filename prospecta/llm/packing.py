@@ -8,10 +8,8 @@ among those of their length.
 
 from __future__ import annotations
 
-import codecs
-import gc
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,80 +24,64 @@ from prospecta.session import materialise
 
 CAPACITY = 1024
 END = 2
-#: A task's table of words and their ids holds at most so many in each of two halves, which bounds its memory.
-CACHED_WORDS = 100_000
+#: How the tokenizer cuts a text into words, which no merge crosses.
+WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-MARKS = frozenset(".,;:!?)")
+def ranked(path: str):
+    """A tiktoken encoding with the ids of the tokenizer in the file, or None if it is not of the kind that one can stand for.
 
-
-class Spaced(dict):
-    """Ids of what stands between two blanks, with the blank before it; None where blanks on either side would matter."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words, self.older = words, {}
-
-    def __missing__(self, part: str) -> bytes | None:
-        if len(self) >= CACHED_WORDS:  # a full half takes the place of the older one; words still in use come back from it
-            self.older = dict(self)
-            self.clear()
-        if part in self.older:
-            self[part] = ids = self.older[part]
-            return ids
-        if part.isalpha():  # one word; the usual case, and the next with a mark after it, need no cutting
-            ids = self.words.merged(" " + part)
-        elif part[-1:] in MARKS and part[:-1].isalpha():
-            ids = self[part[:-1]] + self.words.merged(part[-1])
-        elif part and not part[0].isspace() and not part[-1].isspace():
-            ids = self.words.cut_ids(" " + part)
-        else:
-            ids = None
-        self[part] = ids
-        return ids
+    That kind has byte-level words cut by the usual pattern, nothing before or after them, and merges in the order of their ids,
+    each token being what its own letters merge to. The encoding then makes the same merges, in a third of the time.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    model, words = described["model"], described["pre_tokenizer"] or {}
+    plain = (
+        model["type"] == "BPE" and words.get("type") == "ByteLevel" and words.get("use_regex", True)
+        and not words.get("add_prefix_space") and not described["normalizer"]
+        and not any(model.get(name) for name in (
+            "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")))
+    if not plain:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that are written as themselves
+    hidden = [byte for byte in range(256) if byte not in shown]
+    byte_of = {chr(byte): byte for byte in shown} | {chr(256 + place): byte for place, byte in enumerate(hidden)}
+    special = {token["content"] for token in described["added_tokens"]}
+    vocabulary = {token: number for token, number in model["vocab"].items() if token not in special}
+    pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+    merged = [vocabulary.get(left + right, -1) for left, right in pairs]
+    merge = Tokenizer.from_file(path).model.tokenize
+    if merged != sorted(set(merged)) or not all(letter in vocabulary for letter in byte_of) or not all(
+            len(merge(token)) == 1 for token in vocabulary):
+        return None
+    ranks = {bytes(byte_of[letter] for letter in token): number for token, number in vocabulary.items()}
+    return tiktoken.Encoding("words", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
 
 
 class Words:
-    """Ids of texts, as little-endian bytes. No merge crosses a word (pre-token), so the tokenizer is asked once for each
-    part between two blanks, and the answers are kept."""
+    """Ids of whole texts, as little-endian bytes."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # How this kind of tokenizer cuts a text into words, and the letters it writes bytes with.
-        self.cut = regex.compile(
-            r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [byte for byte in range(256) if byte not in shown]
-        self.letters = "".join(chr(256 + hidden.index(byte)) if byte in hidden else chr(byte) for byte in range(256))
-        self.merge = self.tokenizer.model.tokenize
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = Spaced(self)
-
-    def merged(self, word: str) -> bytes:
-        shown, _ = codecs.charmap_decode(word.encode("utf-8", "replace"), "strict", self.letters)
-        return array("I", [token.id for token in self.merge(shown)]).tobytes()
-
-    def cut_ids(self, text: str) -> bytes:
-        return b"".join([self.merged(word) for word in self.cut(text)])
+        self.encoding = ranked(path)
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if any(token in text for token in self.special):
+        if self.encoding is None or any(token in text for token in self.special):
             return self.whole(text)
-        first, *parts = text.split(" ")
-        spaced = self.spaced
         try:
-            if first and first[-1].isspace():
-                return self.cut_ids(text)
-            return self.cut_ids(first) + b"".join([spaced[part] for part in parts])
-        except TypeError:  # blanks in a row
-            return self.cut_ids(text)
+            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its pattern gives up on very long runs of blanks
+            return self.whole(text)
 
 
 _words: dict[str, Words] = {}
@@ -121,7 +103,6 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            gc.disable()  # nothing here refers to itself; looking for such rubbish takes a quarter of the time
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = words.ids(text or "") + end
                 n = len(ids) // 4
@@ -133,7 +114,6 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
                                  part, ranks[length]))
                     ranks[length] += 1
                     begin += length
-            gc.enable()
             out = pd.DataFrame(rows, columns=schema.names)
             out["doc_id"] = out["doc_id"].astype(batch["doc_id"].dtype)
             yield out
