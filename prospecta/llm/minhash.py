@@ -33,6 +33,8 @@ LAYOUTS = ((6, 1), (8, 1), (12, 1), (24, 0))
 MISS = 1e-4
 #: Bits of the map of a set by which pairs are sifted before their full sets are compared.
 MAP_BITS = 1024
+#: Maps of so many sets are made at once.
+MAP_SETS = 1024
 #: Texts are hashed in pieces of about so many bytes (a longer text is one piece), which bounds a task's memory.
 PIECE = 1 << 21
 
@@ -155,10 +157,19 @@ def signatures(value: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _bitmaps(value: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each set, the bits that its shingles hash to, as a row of longs."""
-    flags = np.zeros((len(places) - 1, MAP_BITS), bool)
-    flags[np.repeat(np.arange(len(places) - 1), np.diff(places)), value % np.uint64(MAP_BITS)] = True
-    return np.packbits(flags, axis=1).view(np.int64)
+    """For each set, the bits that an odd number of its shingles hash to, as a row of longs.
+
+    Shingles that two sets share turn the same bits, so what they differ in shows however full the maps are.
+    """
+    n, bit = len(places) - 1, (value % np.uint64(MAP_BITS)).astype(np.int64)
+    out = np.zeros((n, MAP_BITS // 64), np.int64)
+    for first in range(0, n, MAP_SETS):
+        ends = places[first: first + MAP_SETS + 1]
+        sets = len(ends) - 1
+        at = np.repeat(np.arange(sets) * MAP_BITS, np.diff(ends)) + bit[ends[0]: ends[-1]]
+        odd = np.bincount(at, minlength=sets * MAP_BITS).astype(np.uint8).reshape(sets, MAP_BITS) & 1
+        out[first: first + sets] = np.packbits(odd, axis=1).view(np.int64)
+    return out
 
 
 def _hashed(documents: DataFrame, cut: Layout) -> DataFrame:
@@ -219,7 +230,8 @@ def _keys(classes: DataFrame, cut: Layout) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(_rep, _shingle): of each set, the rarest shingles that a linked one must share one of, if another has them.
+    """(_rep, _shingle, _place): of each set, the rarest shingles that a linked one must share one of, if another has them,
+    and how many of the set's shingles are rarer.
 
     A link takes percent of the union, so of either set itself, to be in both. So of the (100 - percent) percent
     rarest shingles of a set and one more, in an order that is the same for all sets, two linked sets share one.
@@ -231,8 +243,10 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("_sets", "_shingle"))).alias("_shared"))
     size = F.col("_size")
     prefix = size - F.ceil(F.lit(percent) * size / 100) + 1 - (size - F.size("_shared"))
-    return sets.select("_rep", F.size("_set").alias("_size")).join(shared, "_rep").select("_rep", "_shared", prefix.cast("int").alias("_prefix")).filter("_prefix > 0").select(
-        "_rep", F.explode(F.slice("_shared", F.lit(1), F.col("_prefix"))).alias("_s")).select("_rep", "_s._shingle")
+    return sets.select("_rep", F.size("_set").alias("_size")).join(shared, "_rep").select(
+        "_rep", "_shared", prefix.cast("int").alias("_prefix"), (size - F.size("_shared")).alias("_alone")).filter("_prefix > 0").select(
+        "_rep", "_alone", F.posexplode(F.slice("_shared", F.lit(1), F.col("_prefix"))).alias("_at", "_s")).select(
+        "_rep", "_s._shingle", (F.col("_alone") + F.col("_at")).alias("_place"))
 
 
 def _distance(a: str, b: str, cut: Layout) -> Column:
@@ -253,7 +267,7 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 
 def _near_maps(a: str, b: str, percent: int) -> Column:
-    """What bitmaps allow: every bit that one set has and the other has not takes a shingle of its own in one of them, and
+    """What bitmaps allow: every bit that differs takes a shingle of its own that only one of the sets has, and
     of linked sets, (100 - percent) of (100 + percent) shingles in both are not shared at most."""
     apart = F.lit(0)
     for i in range(MAP_BITS // 64):
@@ -261,6 +275,16 @@ def _near_maps(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
 
 
+def _enough_left(a: str, b: str, percent: int) -> Column:
+    """What places allow: two sets share no more than the first shingle they meet at and what is less rare in either.
+
+    A link fulfils this at the rarest shingle that both have; pairs are dropped at the later ones that leave too few.
+    """
+    na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    left = F.least(na - F.col(f"_place_{a}"), nb - F.col(f"_place_{b}"))
+    return (100 + percent) * left >= percent * (na + nb)
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles (long), component_id (long), kept (boolean).
 
@@ -319,12 +343,13 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     # The sieve alone, not an exact join, which would shuffle the sets: a set too many alters the order, not what is found.
     rarest = _rarest(in_buckets(sets, "_rep", apart), percent)
     met = materialise(apart.join(rarest, "_rep").join(sets.select("_rep", "_bits"), "_rep").select(
-        "_shingle", F.struct("m.*", "_bits").alias("m"), "c"))
-    left, right = (met.select("_shingle", F.col("m").alias(side), F.col("c").alias("c" + side)) for side in "ab")
+        "_shingle", "_place", F.struct("m.*", "_bits").alias("m"), "c"))
+    left, right = (met.select("_shingle", F.col("_place").alias(f"_place_{side}"), F.col("m").alias(side), F.col("c").alias("c" + side))
+                   for side in "ab")
     second = (
         left.join(right, "_shingle")
-        .filter((F.col("ca") != F.col("cb")) & (F.col("b._rep") < F.col("a._rep")) & _alike("a", "b", percent)
-                & _near_maps("a", "b", percent))
+        .filter((F.col("ca") != F.col("cb")) & (F.col("b._rep") < F.col("a._rep")) & _enough_left("a", "b", percent)
+                & _near_maps("a", "b", percent) & _alike("a", "b", percent))
         .select("a", "b").distinct()
     )
     links = links.union(materialise(confirmed(second)))

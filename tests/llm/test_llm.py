@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against SQL, brute force and their own laws."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -146,6 +147,30 @@ def test_edited_texts(spark, folder):
         assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_bitmaps_bound_the_difference():
+    """Bits that differ are never more than the shingles that only one set has, and show them where the sets are large."""
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 62, 20_000, dtype=np.uint64)
+    own = [rng.integers(0, 1 << 62, size, dtype=np.uint64) for size in (40, 25)]
+    value = np.concatenate([shared, own[0], shared, own[1]])
+    maps = minhash._bitmaps(value, np.array([0, 20_040, 40_065, 40_065])).view(np.uint64)
+    apart = sum(int(x).bit_count() for x in maps[0] ^ maps[1])
+    assert apart <= 65 and apart % 2 == 1 and apart >= 50
+    assert not maps[2].any()
+
+
+def test_ids_of_words_equal_the_tokenizers():
+    words = packing.Words(packing.tokenizer_path())
+    assert words.encoding is not None
+    draw = random.Random(5)
+    letters = list("abc\u00e9 \u00f1\u4e2d'sdtrevmll.,!?019\t\n\r \u00a0\u3000\U0001f642-_<|>")
+    for _ in range(5_000):
+        text = "".join(draw.choices(letters, k=draw.randrange(40)))
+        assert words.ids(text) == words.whole(text), text
+    for text in ("", " " * 300_000 + "a", "x<|endoftext|>y", "ab" * 50_000):
+        assert words.ids(text) == words.whole(text)
+
+
 def test_packing(spark, folder):
     from tokenizers import Tokenizer
 
