@@ -160,7 +160,8 @@ def test_bitmaps_bound_the_difference():
 
 
 def test_ids_of_words_equal_the_tokenizers():
-    words = packing.Words(packing.tokenizer_path())
+    path = packing.tokenizer_path()
+    words = packing.Words(path, packing.ranked(path))
     assert words.encoding is not None
     draw = random.Random(5)
     letters = list("abc\u00e9 \u00f1\u4e2d'sdtrevmll.,!?019\t\n\r \u00a0\u3000\U0001f642-_<|>")
