@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospecta import schemas as S
 from prospecta.functions import validation as V
-from prospecta.operators import logs, maintain
+from prospecta.operators import logs, lookups, maintain
 from prospecta.plans import batch_scoring
 from prospecta.workload.fixtures import Registry, cte, load
 from prospecta.workload.relational import (
@@ -153,6 +153,11 @@ def _(spark, folder):
     return logs.latest_logs(stored(spark, folder))
 
 
+@add("log_by_id", cte("fx_raw_logs", **STORED) + "SELECT * FROM logs WHERE log_id = 42")
+def _(spark, folder):
+    return lookups.log_by_id(stored(spark, folder), 42)
+
+
 @add("latest_gateway_errors", cte("fx_raw_logs", **STORED) +
      "SELECT * FROM logs WHERE service = 'api-gateway' AND level = 'ERROR' ORDER BY log_id DESC LIMIT 25")
 def _(spark, folder):
