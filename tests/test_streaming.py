@@ -119,3 +119,25 @@ def test_commits_show_together(spark, tmp_path):
     store.compact("predictions")
     assert len(store._paths("predictions")) == 1
     assert store.read("predictions").count() == 4 and store.read("campaign_history").count() == 3
+
+
+def test_additions_are_folded(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), fold=3)
+    held = store.read("predictions")
+    for number in range(14):
+        store.commit(append={"predictions": spark.range(number, number + 1).select(F.col("id").alias("prediction_id"))})
+        if number == 2:
+            held = store.read("predictions")
+        # In the digits of the number of commits to the base 3, each stands for so many folders of its level.
+        commits, folders = number + 1, 0
+        while commits:
+            commits, digit = divmod(commits, 3)
+            folders += digit
+        assert len(store._paths("predictions")) == folders
+    assert sorted(r["prediction_id"] for r in store.read("predictions").collect()) == list(range(14))
+    assert held.count() == 3  # a frame that was read before keeps its files
+    store.commit(replace={"predictions": store.read("predictions").filter("prediction_id < 2")})
+    for number in range(3):
+        store.commit(append={"predictions": spark.range(20 + number, 21 + number).select(F.col("id").alias("prediction_id"))})
+    assert sorted(r["prediction_id"] for r in store.read("predictions").collect()) == [0, 1, 20, 21, 22]
+    assert len(store._paths("predictions")) == 2
