@@ -173,3 +173,12 @@ def test_permuted_copies_are_permutations(spark):
         others = [n for n in FEATURES if n != feature]
         assert sorted(part[feature]) == list(range(50))
         assert (part[others].nunique(axis=1) == 1).all() and (part[feature] != part[others[0]]).any()
+
+
+def test_search_gives_no_more_than_k_of_a_query(spark):
+    """Of a group of 300 points, k pairs a query leave the task, not all 300."""
+    df = spark.range(300).select(F.col("id").alias("point"), F.lit(1).cast("long").alias("copies"),
+                                 F.array(F.rand(1), F.rand(2), F.lit(1.0)).alias("vec"))
+    index = neighbours._Index(df, [1], 512, 4096)
+    asking = index.points.withColumn("bound", F.lit(float("inf")))
+    assert index.searched(0, asking, 300, 5).groupBy("point").count().agg(F.min("count"), F.max("count")).first() == (5, 5)
