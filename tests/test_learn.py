@@ -9,6 +9,7 @@ from prospecta.learn import evaluate, importance, resample, split, train
 from prospecta.learn.features import balanced_weight, positive_weight
 from prospecta.learn import neighbours
 from prospecta.learn.neighbours import leaf_of, nearest_neighbours, split_tree
+from prospecta.session import materialise_by_rows
 
 
 def outcomes(spark, tp, fp, fn, tn):
@@ -182,3 +183,9 @@ def test_search_gives_no_more_than_k_of_a_query(spark):
     index = neighbours._Index(df, [1], 512, 4096)
     asking = index.points.withColumn("bound", F.lit(float("inf")))
     assert index.searched(0, asking, 300, 5).groupBy("point").count().agg(F.min("count"), F.max("count")).first() == (5, 5)
+
+
+def test_tasks_of_trees_hold_few_rows(spark):
+    rows = materialise_by_rows(spark.range(0, 1000, 1, 2), 100)
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != spark.conf.get("spark.sql.files.maxPartitionBytes")
