@@ -10,6 +10,7 @@ from prospecta.learn.features import balanced_weight, positive_weight
 from prospecta.learn import neighbours
 from prospecta.learn.neighbours import leaf_of, nearest_neighbours, split_tree
 from prospecta.session import materialise_by_rows
+from prospecta.workload import learning
 
 
 def outcomes(spark, tp, fp, fn, tn):
@@ -189,3 +190,17 @@ def test_tasks_of_trees_hold_few_rows(spark):
     rows = materialise_by_rows(spark.range(0, 1000, 1, 2), 100)
     assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
     assert spark.conf.get("spark.sql.files.openCostInBytes") != spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("name", ["standardised_numbers", "category_slots"])
+def test_copies_are_taken_out_once(spark, folder, monkeypatch, name):
+    """What is fitted on reads a written table; its plan has no exchange of all rows."""
+    plans, fit = [], learning.features.fit_preprocessor
+
+    def noted(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return fit(rows)
+
+    monkeypatch.setattr(learning.features, "fit_preprocessor", noted)
+    learning.registry.queries[name](spark, folder)
+    assert plans and not any("Exchange" in plan for plan in plans)
