@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -204,3 +205,15 @@ def test_copies_are_taken_out_once(spark, folder, monkeypatch, name):
     monkeypatch.setattr(learning.features, "fit_preprocessor", noted)
     learning.registry.queries[name](spark, folder)
     assert plans and not any("Exchange" in plan for plan in plans)
+
+
+def test_equal_draws_are_fitted_once(spark, monkeypatch):
+    rows = spark.range(120).select(
+        F.col("id").cast("string").alias("row_key"), (F.col("id") % 2).cast("int").alias("target"),
+        (F.col("id") % 3).cast("int").alias("fold"), array_to_vector(F.array((F.col("id") % 7).cast("double"))).alias("features"))
+    parts = [train.Prepared(None, rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)) for f in range(3)]
+    monkeypatch.setattr(train, "draw_parameters", lambda *_: [{"numTrees": 9, "maxDepth": 2}, {"numTrees": 8, "maxDepth": 2}, {"numTrees": 7, "maxDepth": 1}])
+    fits, classifier = [], train._classifier
+    monkeypatch.setattr(train, "_classifier", lambda *a: fits.append(a[1]) or classifier(*a))
+    tuned = train.tune(train.FAMILIES[0], rows, prepared=(parts, train.Prepared(PipelineModel([]), rows, None)), trees=2, draws=3)
+    assert len(fits) == 2 * 3 + 1 and sorted(tuned.means) == [0, 1, 2] and tuned.means[0] == tuned.means[1]
