@@ -35,7 +35,7 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.RAW_TRAINING).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def _file_list(spark: SparkSession, path: str) -> DataFrame:
+def _file_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length) of every file; their contents are not read."""
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
@@ -133,16 +133,17 @@ def _streamed_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"source_file": batch["path"], "file_hash": digests})
 
 
-def file_hashes(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str | list[str], whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """SHA-256 of the bytes of every file, computed by the tasks that read them.
 
     Files of at most ``whole_bytes`` are read as one value. A larger one is streamed through the digest in chunks, so
-    its size has no limit; its store must be one that tasks can open (``DIRECT``). Empty files are not listed.
+    its size has no limit, where its store is one that tasks can open (``DIRECT``). Empty files are not listed.
     """
+    streamed = (F.col("length") > whole_bytes) & F.col("path").rlike(DIRECT)
     content = spark.read.format("binaryFile").load(path)
-    small = content.filter(F.col("length") <= whole_bytes).select(
+    small = content.filter(~streamed).select(
         F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"))
-    large = _file_list(spark, path).filter(F.col("length") > whole_bytes)
+    large = _file_list(spark, path).filter(streamed)
     if not large.isEmpty():
         # One file is one task's work; the files of a folder are dealt to all tasks.
         dealt = large.repartition(spark.sparkContext.defaultParallelism, "path")

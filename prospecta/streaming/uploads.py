@@ -13,7 +13,7 @@ from prospecta import schemas as S
 from prospecta.functions.validation import missing_columns
 from prospecta.operators.ranking import with_positions
 from prospecta.plans.batch_scoring import CampaignTables, Scorer, score_uploads
-from prospecta.sources.files import read_upload_rows
+from prospecta.sources.files import CHUNK_BYTES, file_hashes, read_upload_rows
 from prospecta.sources.tables import TableStore
 
 # Columns of Spark's binaryFile source; a stream has to name them.
@@ -57,14 +57,18 @@ def start_upload_scoring(
     """
     arrivals = (
         spark.readStream.format("binaryFile").schema(BINARY_FILES).option("pathGlobFilter", "*.csv")
-        .option("maxFilesPerTrigger", files_per_batch).load(folder)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_hash"))
+        .option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
     )
 
     def score(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
+        paths = [row["path"] for row in batch.collect()]
+        if not paths:
+            return
+        # A file is never one value in a task, but for those of a chunk's size.
+        hashed = file_hashes(session, paths, CHUNK_BYTES).withColumnRenamed("source_file", "path")
         # The same bytes under two names count once.
-        once = batch.groupBy("file_hash").agg(F.min(F.struct("file_name", "path")).alias("file"))
+        once = hashed.groupBy("file_hash").agg(F.min(F.struct("file_name", "path")).alias("file"))
         fresh = once.join(store.read("batch_uploads").select("file_hash"), "file_hash", "left_anti")
         files = [(r["file"]["path"], r["file"]["file_name"], r["file_hash"]) for r in fresh.orderBy("file").collect()]
         rows, refused = collect_uploads(session, files)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 from datetime import datetime
@@ -5,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from prospecta import schemas as S
+from prospecta.sources import files
 from prospecta.sources.tables import TableStore
 from prospecta.streaming import logs, uploads
 
@@ -141,3 +143,22 @@ def test_additions_are_folded(spark, tmp_path):
         store.commit(append={"predictions": spark.range(20 + number, 21 + number).select(F.col("id").alias("prediction_id"))})
     assert sorted(r["prediction_id"] for r in store.read("predictions").collect()) == [0, 1, 20, 21, 22]
     assert len(store._paths("predictions")) == 2
+
+
+def test_uploaded_files_are_hashed_in_chunks(spark, tmp_path, monkeypatch):
+    """Files beyond a chunk are streamed: the stream itself never reads contents, and the registered hash is that of the bytes."""
+    line = ("91234567,30,admin.,single,primary,no,10,no,no,cellular,1,jan,1,-1,0,unknown\n")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    body = (",".join(S.UPLOAD_FIELDS) + "\n" + line).encode()
+    (folder / "one file.csv").write_bytes(body)
+    monkeypatch.setattr(uploads, "CHUNK_BYTES", 10)
+    asked = []
+    monkeypatch.setattr(uploads, "file_hashes", lambda spark, paths, whole: asked.append(whole) or files.file_hashes(spark, paths, whole))
+    store = TableStore(spark, str(tmp_path / "tables"))
+    uploads.start_upload_scoring(
+        spark, str(folder), store, lambda df: df.withColumn("probability", F.lit(0.9)), str(tmp_path / "checkpoint"),
+        clock=lambda: datetime(2024, 1, 1), available_now=True).awaitTermination()
+    assert asked == [10]
+    assert [row["file_hash"] for row in store.read("batch_uploads").collect()] == [hashlib.sha256(body).hexdigest()]
+    assert store.read("predictions").count() == 1
