@@ -18,8 +18,8 @@ from prospecta.session import materialise
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL, IP, CARD, PHONE = range(4)
 
-#: At most so many spans of each kind and label are learned from, those of the smallest hash.
-SAMPLE = 4000
+#: A task learns from about so many different cases (kind, label and features), each weighted by its spans.
+CASES_PER_TASK = 100_000
 #: A kind's threshold is the least score from which so large a share of the spans held out is right.
 PRECISION = 0.98
 #: Characters of context that are looked at, before and after a span.
@@ -187,30 +187,30 @@ class Detector:
         return self.scored(spans).filter(F.col("score") >= least)
 
 
-def learn(spans: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Detector:
-    """Trees fitted to spans whose truth is known, thresholds calibrated on a third that the trees don't see.
+def learn(spans: DataFrame, precision: float = PRECISION) -> Detector:
+    """Trees fitted to all spans whose truth is known, but for a third by hash, on all of which thresholds are calibrated.
 
     Base spans are personal data. A span that fails the check of its kind is not, unless it overlaps one that passes: it may be
-    a fragment of that, or that with its surroundings. The rest is left to the trees. Of each kind and truth at most ``sample``
-    spans are taken, by hash.
+    a fragment of that, or that with its surroundings. The rest is left to the trees. Spans with the same features are one case,
+    weighted by their number.
     """
     label = F.when(F.col("base"), 1).when(~F.col("valid") & ~F.col("beside"), 0)
     place = F.xxhash64("doc_id", "start", "end", "kind")
-    known = spans.withColumn("label", label).filter("label is not null").select("kind", "label", "_x", place.alias("_place"))
-    first = Window.partitionBy("kind", "label").orderBy("_place", "_x")
-    # At most 8 * SAMPLE rows, in one order, so that the trees are the same each time.
-    taken = materialise(
-        known.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample)
-        .withColumn("_held", F.pmod(F.xxhash64("_place"), F.lit(3)) == 0)
-        .coalesce(1).sortWithinPartitions("_place", "kind", "_x"))
-    fit = taken.filter("not _held")
-    if fit.select("label").distinct().count() < 2:
+    cases = materialise(
+        spans.withColumn("label", label).filter("label is not null")
+        .groupBy("kind", "label", "_x", (F.pmod(F.xxhash64(place), F.lit(3)) == 0).alias("_held"))
+        .agg(F.count("*").cast("double").alias("_weight")))
+    fit = cases.filter("not _held")
+    number, labels = fit.agg(F.count("*"), F.count_distinct("label")).first()
+    if labels < 2:
         return Detector(None, [0.5] * len(KINDS))
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=20, maxDepth=4, maxBins=32, seed=7, checkpointInterval=-1).fit(
+    # In one order, so that the trees are the same each time where one task holds all cases.
+    fit = materialise(fit.repartition(-(-number // CASES_PER_TASK), "kind", "_x").sortWithinPartitions("kind", "_x", "label"))
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=20, maxDepth=4, maxBins=32, seed=7, checkpointInterval=-1).fit(
         fit.withColumn("_features", array_to_vector("_x")))
     detector = Detector(trees, [0.5] * len(KINDS))
-    bins = detector.scored(taken.filter("_held")).groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(
-        F.sum("label").alias("right"), F.count("*").alias("all")).collect()  # at most 101 bins a kind
+    bins = detector.scored(cases.filter("_held")).groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(
+        F.sum(F.col("label") * F.col("_weight")).alias("right"), F.sum("_weight").alias("all")).collect()  # at most 101 bins a kind
     for kind in range(len(KINDS)):
         own = sorted((row["bin"], row["right"], row["all"]) for row in bins if row["kind"] == kind and row["bin"] >= 50)
         for place, (least, *_) in enumerate(own):

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from prospecta.llm import pii
 
@@ -114,3 +115,26 @@ def test_redacted(spark):
     rows = {row["doc_id"]: row for row in pii.redacted(table(spark, texts), pii.Detector(None, [0.5] * 4)).collect()}
     assert [rows[i]["text"] for i in range(5)] == ["a <IP> b <EMAIL>, c", None, "", "😀 <PHONE> <CARD>", "clean"]
     assert rows[0]["kind"] == "x" and rows[0]["score"] == 2.0
+
+
+def test_all_known_spans_are_learned_from(spark, monkeypatch):
+    """9,000 spans of one kind and truth weigh 9,000, but for the third held out, in as many rows as they have features."""
+    seen = []
+
+    class Noted:
+        def __init__(self, **options):
+            self.weight = options["weightCol"]
+
+        def fit(self, rows):
+            seen.append(rows.agg(F.sum(self.weight), F.count("*")).first())
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(pii, "GBTClassifier", Noted)
+    spans = spark.range(9000).select(
+        F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.lit(0).alias("kind"),
+        (F.col("id") < 8900).alias("base"), (F.col("id") < 8900).alias("valid"), F.lit(False).alias("beside"),
+        F.array((F.col("id") % 2).cast("double")).alias("_x"))
+    with pytest.raises(KeyboardInterrupt):
+        pii.learn(spans)
+    weight, cases = seen[0]
+    assert 5700 < weight < 6300 and cases == 4
