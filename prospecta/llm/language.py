@@ -29,7 +29,7 @@ WINDOW = SHORT_BYTES // 4
 #: So many languages share tables, whose size is the product of their contexts and languages.
 GROUP = 8
 #: Texts are scored in pieces of about so many bytes, which bounds a task's memory.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 class Table:
