@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from prospecta.learn import evaluate, importance, resample, split, train
@@ -217,3 +217,35 @@ def test_equal_draws_are_fitted_once(spark, monkeypatch):
     monkeypatch.setattr(train, "_classifier", lambda *a: fits.append(a[1]) or classifier(*a))
     tuned = train.tune(train.FAMILIES[0], rows, prepared=(parts, train.Prepared(PipelineModel([]), rows, None)), trees=2, draws=3)
     assert len(fits) == 2 * 3 + 1 and sorted(tuned.means) == [0, 1, 2] and tuned.means[0] == tuned.means[1]
+
+
+def test_copies_of_prepared_rows_score_like_copies_of_rows(spark, monkeypatch):
+    """The importance scores vectors in which one feature's slots are swapped; no copy goes through the preparation."""
+    from prospecta import schemas as S
+    from prospecta.learn.features import feature_slots, prepare
+    from prospecta.workload.models import forest
+    rows = spark.range(120).select(
+        F.col("id").alias("rank"), (F.col("id") % 7 < 3).cast("int").alias("target"),
+        *[(F.col("id") * 31 % (11 + i)).cast("int").alias(name) for i, name in enumerate(S.NUMERIC_FEATURES)],
+        *[F.element_at(F.array(*[F.lit(value) for value in S.DOMAINS[name]]), (F.col("id") % len(S.DOMAINS[name]) + 1).cast("int")).alias(name)
+          for name in S.CATEGORICAL_FEATURES])
+    model = forest(rows.filter(F.col("job") != "student"))  # students have no slot
+    slots = feature_slots(model.preparation)
+    assert set(slots) == set(S.FEATURES) and slots["job"][1] == len(S.DOMAINS["job"]) - 1
+    ready = prepare(model.preparation, rows, ["target", "rank"]).select("target", "rank", vector_to_array("features").alias("vec"))
+    keys = ["repeat", "feature", "target", "probability"]
+    swapped = model.of_prepared(importance.permuted_vectors(ready, 120, [0, 1], 42, slots)).select(keys).collect()
+    copied = model.with_probability(importance.permuted_copies(rows, 120, [0, 1], 42)).select(keys).collect()
+    assert len(swapped) == 120 * 15 * 2 and sorted(swapped) == sorted(copied)
+    assert feature_slots(PipelineModel(model.preparation.stages[1:])) == {}
+
+    general = {r["feature"]: r["importance"] for r in _importance_of_rows(monkeypatch, model, rows)}
+    monkeypatch.setattr(importance, "permuted_copies", None)
+    prepared_ = {r["feature"]: r["importance"] for r in importance.permutation_importance(model, rows, repeats=1).collect()}
+    assert prepared_ == pytest.approx(general, abs=1e-12)
+
+
+def _importance_of_rows(monkeypatch, model, rows):
+    with monkeypatch.context() as patch:
+        patch.setattr(importance, "feature_slots", lambda _: {})
+        return importance.permutation_importance(model, rows, repeats=1).collect()
