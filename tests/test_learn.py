@@ -1,4 +1,5 @@
 import math
+from threading import Barrier
 
 import numpy as np
 import pytest
@@ -249,3 +250,28 @@ def _importance_of_rows(monkeypatch, model, rows):
     with monkeypatch.context() as patch:
         patch.setattr(importance, "feature_slots", lambda _: {})
         return importance.permutation_importance(model, rows, repeats=1).collect()
+
+
+def test_folds_are_resampled_and_fitted_side_by_side(spark, monkeypatch):
+    """The three folds and all rows wait for each other; so do the fits of a draw's folds."""
+    rows = spark.range(120).select(
+        F.col("id").cast("string").alias("row_key"), (F.col("id") % 2).cast("int").alias("target"),
+        (F.col("id") % 3).cast("int").alias("fold"), array_to_vector(F.array((F.col("id") % 7).cast("double"))).alias("features"))
+    parts = [train.Prepared(None, rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)) for f in range(3)]
+    whole = train.Prepared(PipelineModel([]), rows, None)
+    ready, classifier, resampling, fitting, fits = train._ready, train._classifier, Barrier(4), Barrier(3), []
+
+    def resampled(*arguments):
+        resampling.wait(60)
+        return ready(*arguments)
+
+    def fitted(*arguments):
+        fits.append(arguments)
+        if len(fits) <= 3:
+            fitting.wait(60)
+        return classifier(*arguments)
+
+    monkeypatch.setattr(train, "_ready", resampled)
+    monkeypatch.setattr(train, "_classifier", fitted)
+    tuned = train.tune(train.FAMILIES[0], rows, prepared=(parts, whole), trees=2, draws=1)
+    assert len(fits) == 4 and tuned.out_of_fold.count() == 120
