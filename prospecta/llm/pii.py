@@ -196,7 +196,8 @@ def learn(spans: DataFrame, precision: float = PRECISION) -> Detector:
     """
     label = F.when(F.col("base"), 1).when(~F.col("valid") & ~F.col("beside"), 0)
     place = F.xxhash64("doc_id", "start", "end", "kind")
-    cases = materialise(
+    # Counted for each use: the spans are small beside the texts, and a table of many small files is spared.
+    cases = (
         spans.withColumn("label", label).filter("label is not null")
         .groupBy("kind", "label", "_x", (F.pmod(F.xxhash64(place), F.lit(3)) == 0).alias("_held"))
         .agg(F.count("*").cast("double").alias("_weight")))
@@ -205,7 +206,7 @@ def learn(spans: DataFrame, precision: float = PRECISION) -> Detector:
     if labels < 2:
         return Detector(None, [0.5] * len(KINDS))
     # In one order, so that the trees are the same each time where one task holds all cases.
-    fit = materialise(fit.repartition(-(-number // CASES_PER_TASK), "kind", "_x").sortWithinPartitions("kind", "_x", "label"))
+    fit = materialise(fit.repartition(-(-number // CASES_PER_TASK)).sortWithinPartitions("kind", "_x", "label"))
     trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=20, maxDepth=4, maxBins=32, seed=7, checkpointInterval=-1).fit(
         fit.withColumn("_features", array_to_vector("_x")))
     detector = Detector(trees, [0.5] * len(KINDS))

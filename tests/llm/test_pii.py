@@ -138,3 +138,24 @@ def test_all_known_spans_are_learned_from(spark, monkeypatch):
         pii.learn(spans)
     weight, cases = seen[0]
     assert 5700 < weight < 6300 and cases == 4
+
+
+def test_learning_writes_one_small_table(spark, monkeypatch):
+    """Only the cases that trees are fitted to are written, in one file, however many partitions a shuffle has."""
+    written, write = [], pii.materialise
+    monkeypatch.setattr(pii, "materialise", lambda df: written.append(write(df)) or written[-1])
+    spans = spark.range(3000).select(
+        F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.lit(0).alias("kind"),
+        (F.col("id") % 2 == 0).alias("base"), (F.col("id") % 2 == 0).alias("valid"), F.lit(False).alias("beside"),
+        F.array((F.col("id") % 100).cast("double"), (F.col("id") % 2).cast("double")).alias("_x"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        detector = pii.learn(spans)
+    finally:
+        spark.conf.set(name, was)
+    assert [(table.count(), len(table.inputFiles())) for table in written] == [(100, 1)]
+    right, wrong = [sorted(row["score"] for row in detector.scored(spans.filter(kind)).select("score").distinct().collect())
+                    for kind in ("base", "not base")]
+    assert right[0] > 0.9 and wrong[-1] < 0.1
