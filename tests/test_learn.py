@@ -275,3 +275,29 @@ def test_folds_are_resampled_and_fitted_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(train, "_classifier", fitted)
     tuned = train.tune(train.FAMILIES[0], rows, prepared=(parts, whole), trees=2, draws=1)
     assert len(fits) == 4 and tuned.out_of_fold.count() == 120
+
+
+@pytest.mark.parametrize("name, families", [("out_of_fold_rows", train.FAMILIES[:1])])
+def test_registered_searches_draw_from_the_whole_grids(spark, monkeypatch, name, families):
+    """Every family is searched with twelve draws of its own grid, whose trees nothing limits."""
+    from prospecta import schemas as S
+    from prospecta.workload import models
+    rows = spark.range(240).select(
+        F.md5(F.col("id").cast("string")).alias("row_key"), (F.col("id") % 4 == 0).cast("int").alias("target"),
+        *[(F.col("id") * 31 % (11 + i)).cast("int").alias(name) for i, name in enumerate(S.NUMERIC_FEATURES)],
+        *[F.element_at(F.array(*[F.lit(value) for value in S.DOMAINS[name]]), (F.col("id") % len(S.DOMAINS[name]) + 1).cast("int")).alias(name)
+          for name in S.CATEGORICAL_FEATURES])
+    asked = []
+
+    def small(family, parameters, label, seed):
+        asked.append((family.name, tuple(parameters.items())))
+        return train.RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=1, maxDepth=1, seed=seed)
+
+    monkeypatch.setattr(models, "parts", lambda *_: (rows.filter("target >= 0"), rows))
+    monkeypatch.setattr(train, "_classifier", small)
+    monkeypatch.setattr(train, "oversample", lambda prepared, label, seed: prepared.select(label, "features"))
+    models.registry.queries[name](spark, "").collect()
+    for family in families:
+        drawn = [tuple(parameters.items()) for parameters in train.draw_parameters(family.grid, 12)]
+        assert {p for f, p in asked if f == family.name} == set(drawn) and len(set(drawn)) == 12
+    assert f"{train.DRAWS} AS draws" in models.registry.sql[name] and train.DRAWS == 12
