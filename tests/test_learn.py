@@ -277,7 +277,7 @@ def test_folds_are_resampled_and_fitted_side_by_side(spark, monkeypatch):
     assert len(fits) == 4 and tuned.out_of_fold.count() == 120
 
 
-@pytest.mark.parametrize("name, families", [("out_of_fold_rows", train.FAMILIES[:1])])
+@pytest.mark.parametrize("name, families", [("out_of_fold_rows", train.FAMILIES[:1]), ("compared_families", train.FAMILIES)])
 def test_registered_searches_draw_from_the_whole_grids(spark, monkeypatch, name, families):
     """Every family is searched with twelve draws of its own grid, whose trees nothing limits."""
     from prospecta import schemas as S
