@@ -139,14 +139,21 @@ def file_hashes(spark: SparkSession, path: str | list[str], whole_bytes: int = W
     Files of at most ``whole_bytes`` are read as one value. A larger one is streamed through the digest in chunks, so
     its size has no limit, where its store is one that tasks can open (``DIRECT``). Empty files are not listed.
     """
-    streamed = (F.col("length") > whole_bytes) & F.col("path").rlike(DIRECT)
     content = spark.read.format("binaryFile").load(path)
-    small = content.filter(~streamed).select(
-        F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"))
-    large = _file_list(spark, path).filter(streamed)
-    if not large.isEmpty():
+    # Only a bare comparison of the length reaches the source; by any other filter each file is one value before it is left out.
+    fits, larger = F.col("length") <= whole_bytes, F.col("length") > whole_bytes
+
+    def hashed(files: DataFrame) -> DataFrame:
+        return files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"))
+
+    small = hashed(content.filter(fits))
+    large = _file_list(spark, path).filter(larger)
+    direct = F.col("path").rlike(DIRECT)
+    if not large.filter(direct).isEmpty():
         # One file is one task's work; the files of a folder are dealt to all tasks.
-        dealt = large.repartition(spark.sparkContext.defaultParallelism, "path")
+        dealt = large.filter(direct).repartition(spark.sparkContext.defaultParallelism, "path")
         small = small.union(dealt.mapInPandas(_streamed_hashes, "source_file string, file_hash string"))
+    if not large.filter(~direct).isEmpty():
+        small = small.union(hashed(content.filter(larger & ~direct)))
     return small.withColumn("file_name", F.element_at(F.split("source_file", "/"), -1)).select(
         "source_file", "file_name", "file_hash")

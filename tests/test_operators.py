@@ -242,6 +242,20 @@ def test_hashes_of_files_of_any_size(spark, tmp_path, monkeypatch):
         assert found == {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
 
 
+def test_a_larger_file_is_never_read_as_one_value(spark, tmp_path):
+    """Spark refuses to read a file beyond its limit as a value, so the digest of one shows that none was read so."""
+    contents = {"a.csv": b"x" * 100, "b.csv": b"y" * 5000}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        rows = files.file_hashes(spark, str(tmp_path), 500).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {row["file_name"]: row["file_hash"] for row in rows} == {
+        name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+
+
 def test_headers_are_read_from_first_lines_alone(spark, tmp_path):
     (tmp_path / "a.csv").write_text("b,a\n" + "1,2\n" * 2000)
     (tmp_path / "b.csv").write_bytes(b"a,b\r\n3,4\r\n")
