@@ -301,3 +301,12 @@ def test_registered_searches_draw_from_the_whole_grids(spark, monkeypatch, name,
         drawn = [tuple(parameters.items()) for parameters in train.draw_parameters(family.grid, 12)]
         assert {p for f, p in asked if f == family.name} == set(drawn) and len(set(drawn)) == 12
     assert f"{train.DRAWS} AS draws" in models.registry.sql[name] and train.DRAWS == 12
+
+
+def test_cutoffs_are_found_once(spark):
+    """A split that is read again ranks no row again."""
+    rows = spark.range(500).select("id", (F.col("id") % 3 == 0).cast("int").alias("target"))
+    marked = split.mark_test(rows)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "HashAggregate" not in plan
+    assert {r["target"]: r["n"] for r in marked.filter("is_test").groupBy("target").agg(F.count("*").alias("n")).collect()} == {0: 67, 1: 33}
